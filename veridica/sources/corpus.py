@@ -1,0 +1,84 @@
+"""Corpus sources: feeds, mail, transactions, conversations, files; and exports."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+
+def feed_items(feeds: DataFrame, max_items: int = 50) -> DataFrame:
+    """(feed_id, no, title, summary, link) of RSS or Atom texts (feed_id, xml), read by XPath."""
+    def part(path: str):
+        return F.expr(f"xpath(xml, '{path}')")
+
+    xml = feeds.withColumn("xml", F.regexp_replace("xml", r'\sxmlns="[^"]*"', ""))
+    rss = xml.select("feed_id", F.posexplode(F.arrays_zip(part("//item/title/text()").alias("title"), part("//item/description/text()").alias("summary"), part("//item/link/text()").alias("link"))).alias("no", "i"))
+    atom = xml.select("feed_id", F.posexplode(F.arrays_zip(part("//entry/title/text()").alias("title"), F.when(F.size(part("//entry/summary/text()")) > 0, part("//entry/summary/text()")).otherwise(part("//entry/content/text()")).alias("summary"), part("//entry/link/@href").alias("link"))).alias("no", "i"))
+    return rss.unionByName(atom).where(F.col("no") < max_items).select("feed_id", "no", "i.title", "i.summary", "i.link")
+
+
+def _mails(batches: Iterator) -> Iterator:
+    import email
+    from email.utils import getaddresses, parseaddr
+
+    import pandas as pd
+
+    for pdf in batches:
+        rows = []
+        for mail_id, raw in zip(pdf["mail_id"], pdf["raw"], strict=True):
+            message = email.message_from_string(raw or "")
+            sender = parseaddr(message.get("From", ""))[1].lower()
+            for name, address in getaddresses(message.get_all("To", []) + message.get_all("Cc", [])):
+                if address and address.lower() != sender:
+                    rows.append((mail_id, sender, address.lower(), name, message.get("Subject", "")))
+        yield pd.DataFrame(rows, columns=["mail_id", "sender", "recipient", "recipient_name", "subject"])
+
+
+def mail_edges(mails: DataFrame) -> DataFrame:
+    """One row per message and recipient other than the sender, Cc included, of (mail_id, raw)."""
+    return mails.select("mail_id", "raw").mapInPandas(_mails, "mail_id long, sender string, recipient string, recipient_name string, subject string")
+
+
+def split_mbox(boxes: DataFrame) -> DataFrame:
+    """(box_id, no, raw) of mailbox texts (box_id, text)."""
+    return boxes.select("box_id", F.posexplode(F.filter(F.split("text", r"(?m)^From [^\n]*\n"), lambda m: F.trim(m) != "")).alias("no", "raw"))
+
+
+def flows(tx: DataFrame) -> DataFrame:
+    """Directed wallet flows: one edge a transaction; blank and self addresses are skipped."""
+    ok = (F.trim("from_address") != "") & (F.trim("to_address") != "") & (F.col("from_address") != F.col("to_address"))
+    return tx.where(ok).select(F.trim("from_address").alias("source"), F.trim("to_address").alias("target"), "amount", F.substring("tx_hash", 1, 16).alias("note"), "ts")
+
+
+def wallets(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("source").alias("wallet")).unionByName(edges.select(F.col("target").alias("wallet"))).distinct()
+
+
+def replies(chat: DataFrame) -> DataFrame:
+    """(speaker, next speaker, n): who follows whom within a conversation."""
+    follow = F.lead("role").over(W.partitionBy("conv_id").orderBy("turn"))
+    return chat.withColumn("next", follow).where("next is not null").groupBy(F.col("role").alias("speaker"), "next").agg(F.count("*").alias("n"))
+
+
+def text_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, text) of .txt, .csv and .json files; CSV rows become comma-joined cells, JSON its `key: value` lines."""
+    raw = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "utf-8").alias("raw"))
+    kind = F.regexp_extract("path", r"\.(\w+)$", 1)
+    cells = F.transform(F.split("raw", r"\r?\n"), lambda r: F.array_join(F.transform(F.split(r, ","), lambda c: F.trim(c)), ", "))
+    csv = F.array_join(F.filter(cells, lambda r: F.regexp_replace(r, "[, ]", "") != ""), "\n")
+    pairs = F.map_entries(F.from_json("raw", "map<string,string>"))
+    json = F.array_join(F.transform(pairs, lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n")
+    return raw.where(kind.isin("txt", "csv", "json")).select("path", F.when(kind == "csv", csv).when(kind == "json", json).otherwise(F.col("raw")).alias("text"))
+
+
+def label_of(type_: str):
+    return F.replace(F.initcap(F.replace(type_, F.lit("_"), F.lit(" "))), F.lit(" "), F.lit(""))
+
+
+def export_graph(ents: DataFrame, rels: DataFrame, path: str) -> None:
+    """Nodes by label and edges by type, as partitioned Parquet."""
+    ents.withColumn("label", label_of("type")).write.mode("overwrite").partitionBy("label").parquet(f"{path}/nodes")
+    rels.write.mode("overwrite").partitionBy("type").parquet(f"{path}/edges")
