@@ -154,7 +154,7 @@ def drain(df, mode, name):
 def test_streams(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     events.write.parquet(str(tmp_path / "e"))
-    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "e"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "e")).withColumn("ts", F.col("ts").cast("timestamp"))
     audit = stream.select(F.concat(F.lit("A"), "user_id").alias("actor_id"), F.lit("delete").alias("action"), "ts")
     assert drain(streams.insider_windows(audit), "complete", "insider").agg(F.sum("actions")).first()[0] == events.count()
     tx = stream.select(F.col("user_id").cast("string").alias("source"), F.col("event_type").alias("target"), F.col("value").alias("amount"), "ts")
