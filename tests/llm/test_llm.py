@@ -308,13 +308,13 @@ def test_fuzzy_lines_match_brute_force(spark):
     vocab = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60)]
     lines = {}
     for i in range(40):
-        base = [rng.choice(vocab) for _ in range(40)]
+        base = [rng.choice(vocab) for _ in range(150)]
         lines[3 * i] = " ".join(base)
         for j in (1, 2):
-            base[rng.randrange(40)] = rng.choice(vocab)
+            base[rng.randrange(150)] = rng.choice(vocab)
             lines[3 * i + j] = " ".join(base)
     rows = list(lines.items())
-    hashed = line_dedup.simhashes(line_dedup._lines(docs(spark, rows)), ["doc_id"]).collect()
+    hashed = line_dedup.simhashes(line_dedup._lines(docs(spark, rows)), ["doc_id", "h1"]).collect()
     hashes = {r.doc_id: r.simhash & (2**64 - 1) for r in hashed}
     links = py_simhash_pairs(lines, hashes, 3)
     assert len(links) > 10
