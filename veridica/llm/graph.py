@@ -52,7 +52,7 @@ def link_buckets(
     close: Callable[[str, str], Column],
     verify: Callable[[DataFrame], DataFrame],
     small: int = 8,
-    leader_rounds: int = 4,
+    leader_rounds: int = 5,
 ) -> tuple[DataFrame, DataFrame]:
     """(links (a, b), components (id, component)) of the pairs that share a bucket and pass verify.
 
@@ -60,8 +60,8 @@ def link_buckets(
     compares ids that the earlier ones left in different components. close(x, y) is a cheap
     necessary condition on two aliases. verify gets (a, b), a < b, each pair once, and returns
     those linked. Buckets of at most `small` ids compare all their pairs. In a larger one, each
-    round compares one id of each of its components' rest (the first by hash) with every id of
-    another component; what is still apart after leader_rounds is compared pair by pair.
+    round compares two of its ids (the first by hash) with every id of another component; what is
+    still apart when few are left, or after leader_rounds, is compared pair by pair.
     """
     links: DataFrame | None = None
     comp: DataFrame | None = None
@@ -69,6 +69,10 @@ def link_buckets(
     def settled(pairs: DataFrame) -> bool:
         """Verify candidate pairs; true if there were none."""
         nonlocal links, comp
+        pairs = materialize(pairs, "pairs")
+        if not pairs.take(1):
+            discard(pairs)
+            return True
         found = materialize(verify(pairs), "links")
         if not found.take(1):
             discard(found)
@@ -82,35 +86,34 @@ def link_buckets(
             return level.withColumn("c", F.col("id"))
         return level.join(comp, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
 
-    def ordered(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    def meet(left: DataFrame, right: DataFrame, once: bool) -> DataFrame:
+        apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.c") != F.col("y.c")) & close("x", "y")
+        if once:
+            apart = apart & (F.col("x.id") < F.col("y.id"))
+        return left.alias("x").join(right.alias("y"), apart).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+
+    def chosen(rows: DataFrame, step: int) -> DataFrame:
+        """Two ids of each bucket, the first by two hashes."""
+        row = F.struct(*[c for c in rows.columns if c != "bucket"])
+        picks = [F.min_by(row, F.xxhash64(F.lit(2 * step + i), F.col("id"))) for i in (0, 1)]
+        return rows.groupBy("bucket").agg(F.array_distinct(F.array(*picks)).alias("s")).select("bucket", F.explode("s").alias("s")).select("bucket", "s.*")
 
     for level in levels:
         sizes = level.groupBy("bucket").agg(F.count("*").alias("_size")).where("_size > 1")
         kept = materialize(level.join(sizes, "bucket"), "buckets")
-        few, many = kept.where(F.col("_size") <= small).drop("_size"), kept.where(F.col("_size") > small).drop("_size")
-        rows = members(few)
-        pairs = rows.alias("x").join(rows.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & close("x", "y"))
-        settled(ordered(pairs))
-        if not many.take(1):
-            discard(kept)
-            continue
-        for step in range(leader_rounds + 1):
-            rows = materialize(members(many), "members")
-            mixed = rows.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1")
-            if not mixed.take(1):
-                discard(rows)
+        few, many = (members(kept.where(F.col("_size") <= small).drop("_size")), members(kept.where(F.col("_size") > small).drop("_size")))
+        settled(meet(few, few, True).unionByName(meet(chosen(many, 0), many, False)).distinct())
+        for step in range(1, leader_rounds + 1):
+            rows = members(kept.where(F.col("_size") > small).drop("_size"))
+            mixed = rows.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").cast("double").alias("n")).where("c0 <> c1")
+            left = mixed.agg(F.count("*"), F.sum(F.col("n") * F.col("n"))).first()
+            if not left[0]:
                 break
-            if step < leader_rounds:
-                rank = F.xxhash64(F.lit(step), F.col("id"))
-                chosen = rows.join(mixed.select("bucket"), "bucket").groupBy("bucket").agg(F.min_by(F.struct(*[c for c in rows.columns if c != "bucket"]), rank).alias("s")).select("bucket", "s.*")
-                pairs = chosen.alias("x").join(rows.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.c") != F.col("y.c")) & close("x", "y"))
-            else:
-                part = rows.join(mixed.select("bucket"), "bucket")
-                pairs = part.alias("x").join(part.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & close("x", "y"))
-            none = settled(ordered(pairs))
+            rows = materialize(rows.join(mixed.select("bucket"), "bucket"), "members")
+            last = step == leader_rounds or left[1] <= 4e6
+            settled((meet(rows, rows, True) if last else meet(chosen(rows, step), rows, False)).distinct())
             discard(rows)
-            if none and step == leader_rounds:
+            if last:
                 break
         discard(kept)
     if links is None:
