@@ -167,11 +167,16 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_archives(manifest: DataFrame, range_bytes: int = 4 << 20) -> DataFrame:
-    """Every record of the archives (archive, bytes): ranges of range_bytes are dealt to tasks evenly."""
+    """Every record of the archives (archive, bytes): ranges of range_bytes are dealt to tasks evenly.
+
+    The number of tasks is stated, as the rows of ranges are so few bytes that they would be
+    coalesced into one task: a range each up to the cores there are, at most 16 ranges a task beyond.
+    """
     ranges = manifest.select("archive", F.explode(F.sequence(F.lit(0), F.greatest("bytes", F.lit(1)) - 1, F.lit(range_bytes).cast("bigint"))).alias("start"))
     ranges = ranges.withColumn("end", F.col("start") + range_bytes)
-    spread = ranges.repartition(F.col("archive"), F.col("start"))
-    return spread.mapInArrow(_read, RECORDS)
+    n = ranges.count()
+    tasks = max(1, min(n, manifest.sparkSession.sparkContext.defaultParallelism), -(-n // 16))
+    return ranges.repartition(tasks).mapInArrow(_read, RECORDS)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, min_payload: int = 0) -> DataFrame:
