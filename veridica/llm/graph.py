@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,16 +51,17 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def link_buckets(
     levels: list[DataFrame],
     close: Callable[[str, str], Column],
-    verify: Callable[[DataFrame], DataFrame],
+    prepare: Callable[[DataFrame], Callable[[DataFrame, DataFrame], DataFrame]],
     small: int = 8,
     leader_rounds: int = 5,
 ) -> tuple[DataFrame, DataFrame]:
-    """(links (a, b), components (id, component)) of the pairs that share a bucket and pass verify.
+    """(links (a, b), components (id, component)) of the pairs that share a bucket and pass a check.
 
     levels: frames (bucket, id, and columns for `close`), searched in turn; a later level only
     compares ids that the earlier ones left in different components. close(x, y) is a cheap
-    necessary condition on two aliases. verify gets (a, b), a < b, each pair once, and returns
-    those linked. Buckets of at most `small` ids compare all their pairs. In a larger one, each
+    necessary condition on two aliases. prepare gets the distinct ids (id) that share any bucket,
+    once, writes what comparing them needs and returns verify; verify gets pairs (a, b), a < b,
+    each once, and their distinct ids (id), both written, and returns the pairs linked. Buckets of at most `small` ids compare all their pairs. In a larger one, each
     round compares two of its ids (the first by hash) with every id of another component; what is
     still apart when few are left, or after leader_rounds, is compared pair by pair.
     """
@@ -73,7 +75,9 @@ def link_buckets(
         if not pairs.take(1):
             discard(pairs)
             return True
-        found = materialize(verify(pairs), "links")
+        named = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "named")
+        found = materialize(verify(pairs, named), "links")
+        discard(pairs, named)
         if not found.take(1):
             discard(found)
             return True
@@ -98,9 +102,14 @@ def link_buckets(
         picks = [F.min_by(row, F.xxhash64(F.lit(2 * step + i), F.col("id"))) for i in (0, 1)]
         return rows.groupBy("bucket").agg(F.array_distinct(F.array(*picks)).alias("s")).select("bucket", F.explode("s").alias("s")).select("bucket", "s.*")
 
+    shared = []
     for level in levels:
         sizes = level.groupBy("bucket").agg(F.count("*").alias("_size")).where("_size > 1")
-        kept = materialize(level.join(sizes, "bucket"), "buckets")
+        shared.append(materialize(level.join(sizes, "bucket"), "buckets"))
+    candidates = materialize(reduce(DataFrame.unionByName, [kept.select("id") for kept in shared]).distinct(), "candidates")
+    verify = prepare(candidates)
+    discard(candidates)
+    for kept in shared:
         few, many = (members(kept.where(F.col("_size") <= small).drop("_size")), members(kept.where(F.col("_size") > small).drop("_size")))
         settled(meet(few, few, True).unionByName(meet(chosen(many, 0), many, False)).distinct())
         for step in range(1, leader_rounds + 1):
