@@ -31,7 +31,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(small_least, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -82,7 +82,10 @@ def link_buckets(
             discard(found)
             return True
         links = found if links is None else links.unionByName(found)
-        comp = materialize(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
+        edges = found.select(F.col("a").alias("u"), F.col("b").alias("v"))
+        if comp is not None:  # the components so far stand for the earlier links
+            edges = edges.unionByName(comp.select(F.col("id").alias("u"), F.col("component").alias("v")))
+        comp = materialize(connected_components(edges), "components")
         return False
 
     def members(level: DataFrame) -> DataFrame:
