@@ -148,6 +148,22 @@ def test_tool_calls(spark):
     assert tool_calls.format_messages(*empty, schemas).count() == 0
 
 
+def test_levels_match_peeling(spark):
+    rng = random.Random(8)
+    rows = [(0, str(i), [str(i - 1)] if i else []) for i in range(150)]
+    rows += [(1, str(i), [str(rng.randrange(i)) for _ in range(rng.randint(0, 3))] if i else None) for i in range(60)]
+    rows += [(None, str(i), [str(rng.randrange(i + 2 if i % 17 == 3 else i)) for _ in range(rng.randint(0, 2))] if i else []) for i in range(60)]
+    rows += [(2, str(i), [str((i + 1) % 5)] if i < 5 else [str(i - 1)]) for i in range(9)]
+    uses = {(c, i): {(c, u) for u in us or [] if u != i} for c, i, us in rows}
+    uses = {k: {u for u in v if u in uses} for k, v in uses.items()}
+    level: dict = {}
+    while free := [k for k, v in uses.items() if k not in level and v <= level.keys()]:
+        level |= {k: max([level[u] + 1 for u in uses[k]], default=0) for k in free}
+    found = tool_calls.levels(spark.createDataFrame(rows, "conv_id long, call_id string, uses array<string>")).collect()
+    assert len(found) == len(rows) and any(r.level is None for r in found)
+    assert {(r.conv_id, r.call_id): r.level for r in found} == {k: level.get(k) for k in uses}
+
+
 # decontamination
 
 

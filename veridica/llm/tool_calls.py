@@ -6,8 +6,9 @@ validated against their tool's schema, and each message is serialised as canonic
 code-unit order, no spaces).
 
 The order is given as (level, turn, position): rows sorted by it within a conversation are in
-topological order. A level is the longest chain of calls before a call; it is found by peeling,
-one join per level. No conversation is gathered in one task, however long.
+topological order. A level is the longest chain of calls before a call; it is found by doubling
+the chains, a join and two group-bys per round. No conversation is gathered in one task, however
+long.
 
 Defined results: a call without identifier, or whose identifier another call of the conversation
 has too, is `ambiguous`; one without a result is `unanswered`; a result whose call is missing or
@@ -50,31 +51,38 @@ def levels(calls: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """(conv_id, call_id, level): the longest chain of used calls before a call; null on or after a cycle.
 
     calls: conv_id, call_id, uses (array of call_ids). Uses that name no call of the conversation,
-    or the call itself, do not count. Each round peels the calls whose used calls have levels.
+    or the call itself, do not count. An edge (call, used, w) stands for a chain of w uses; used is
+    null where it has reached a call of known level, w then being the level it asks for. Each round
+    replaces an edge to a call that waits for at most one other by that call's own edges, so that
+    chains double in length: a chain takes as many rounds as the logarithm of its calls. A round
+    that settles no call leaves only cycles and what follows them.
     """
     named = calls.where("call_id is not null")
     nodes = named.select("conv_id", "call_id").distinct()
     known = nodes.select(F.col("conv_id").alias("k_conv"), F.col("call_id").alias("k_id"))
     uses = named.select("conv_id", "call_id", F.explode("uses").alias("used")).where("used <> call_id").distinct()
-    waits = materialize(uses.join(known, F.col("conv_id").eqNullSafe(F.col("k_conv")) & (F.col("used") == F.col("k_id")), "left_semi"), "waits")
-
-    def without(df: DataFrame, other: DataFrame, column: str) -> DataFrame:
-        names = other.select(F.col("conv_id").alias("o_conv"), F.col("call_id").alias("o_id")).distinct()
-        return df.join(names, F.col("conv_id").eqNullSafe(F.col("o_conv")) & (F.col(column) == F.col("o_id")), "left_anti")
-
-    last = materialize(without(nodes, waits, "call_id").withColumn("level", F.lit(0)), "level")
-    done = last
-    for depth in range(1, max_rounds):
-        rest = materialize(without(waits, last, "used"), "waits")
-        freed = without(waits.select("conv_id", "call_id").distinct(), rest, "call_id")
-        last = materialize(freed.withColumn("level", F.lit(depth)), "level")
-        discard(waits)
-        waits = rest
-        if not last.take(1):
+    uses = uses.join(known, F.col("conv_id").eqNullSafe(F.col("k_conv")) & (F.col("used") == F.col("k_id")), "left_semi")
+    edges = materialize(uses.withColumn("w", F.lit(1).cast("bigint")).unionByName(nodes.select("*", F.lit(None).cast("string").alias("used"), F.lit(0).cast("bigint").alias("w"))), "edges")
+    before = None
+    for _ in range(max_rounds):
+        by_call = edges.groupBy("conv_id", "call_id").agg(F.count("used").alias("n_open"), F.max("used").alias("only"), F.max(F.when(F.col("used").isNotNull(), F.col("w"))).alias("w_only"), F.max(F.when(F.col("used").isNull(), F.col("w"))).alias("level"))
+        waiting = by_call.where("n_open > 0").count()
+        if not waiting or waiting == before:
             break
-        done = done.unionByName(last)
-    stuck = waits.select("conv_id", "call_id").distinct().withColumn("level", F.lit(None).cast("int"))
-    return done.unionByName(stuck)
+        before = waiting
+        ahead = by_call.where("n_open <= 1").select(F.col("conv_id").alias("o_conv"), F.col("call_id").alias("o_id"), "n_open", "only", "w_only", "level")
+        reached = edges.where("used is not null").join(ahead, F.col("conv_id").eqNullSafe(F.col("o_conv")) & (F.col("used") == F.col("o_id")), "left")
+        # all calls start with the edge (null, 0), so that level is null for a missing match alone; on a cycle, w grows up to 2 ** 40
+        parts = F.when(F.col("level").isNull(), F.array(F.struct(F.col("used").alias("used"), F.col("w").alias("w")))).otherwise(
+            F.array_compact(F.array(F.struct(F.lit(None).cast("string").alias("used"), (F.col("w") + F.col("level")).alias("w")), F.when(F.col("n_open") == 1, F.struct(F.col("only").alias("used"), F.least(F.col("w") + F.col("w_only"), F.lit(1 << 40)).alias("w")))))
+        )
+        stepped = reached.select("conv_id", "call_id", F.explode(parts).alias("e")).select("conv_id", "call_id", "e.used", "e.w")
+        merged = edges.where("used is null").unionByName(stepped).groupBy("conv_id", "call_id", "used").agg(F.max("w").alias("w"))
+        new = materialize(merged, "edges")
+        discard(edges)
+        edges = new
+    settled = edges.groupBy("conv_id", "call_id").agg(F.count("used").alias("n_open"), F.max("w").alias("w"))
+    return settled.select("conv_id", "call_id", F.when(F.col("n_open") == 0, F.col("w").cast("int")).alias("level"))
 
 
 def validate(calls: DataFrame, schemas: DataFrame) -> DataFrame:
