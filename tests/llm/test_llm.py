@@ -319,6 +319,15 @@ def py_simhash_pairs(lines, hashes, most, similarity=0.8):
     return {(a, b) for a, b in combinations(sorted(lines), 2) if (hashes[a] ^ hashes[b]).bit_count() <= most and distance(lines[a], lines[b]) <= int((1 - similarity) * max(len(lines[a]), len(lines[b])) + 1e-9)}
 
 
+def levenshtein(x, y):
+    row = list(range(len(y) + 1))
+    for i, a in enumerate(x, 1):
+        last, row[0] = row[0], i
+        for j, b in enumerate(y, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (a != b))
+    return row[-1]
+
+
 def test_fuzzy_lines_match_brute_force(spark):
     rng = random.Random(8)
     vocab = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60)]
@@ -343,6 +352,39 @@ def test_fuzzy_lines_match_brute_force(spark):
     assert got == {i for i in lines if find(i) != i}
 
 
+def test_fuzzy_lines_reach_edit_similarity(spark):
+    """Pairs of edit similarity alone, at the corpus's line lengths and at short ones."""
+    rng = random.Random(21)
+    vocab = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(3000)]
+    rows, pairs = [], 0
+    for n in (5, 8, 14, 27, 60, 120):
+        for _ in range(25):
+            base = [rng.choice(vocab) for _ in range(n)]
+            near = list(base)
+            for at in rng.sample(range(n), max(1, n // 20)):
+                near[at] = rng.choice([v for v in vocab if len(v) <= 4])
+            x, y = " ".join(base), " ".join(near)
+            if x != y and levenshtein(x, y) <= 0.2 * max(len(x), len(y)):
+                rows += [(2 * pairs, x), (2 * pairs + 1, y)]
+                pairs += 1
+    long_pairs = pairs
+    for _ in range(60):  # short lines: characters replaced, inserted and left out, as many as allowed
+        x = "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(6, 24)))
+        y = list(x)
+        for _ in range(len(x) // 5):
+            at = rng.randrange(len(y))
+            y[at : at + 1] = rng.choice([[], ["z"], [y[at], "z"]])
+        y = "".join(y)
+        if levenshtein(x, y) <= int(0.2 * max(len(x), len(y)) + 1e-9) and max(len(x), len(y)) <= line_dedup.SHORT and x != y:
+            rows += [(2 * pairs, x), (2 * pairs + 1, y)]
+            pairs += 1
+    gone = {r.doc_id for r in line_dedup.dedup_lines(docs(spark, rows), bands=line_dedup.BANDS).where("text is null").collect()}
+    assert long_pairs > 100 and pairs - long_pairs > 20
+    assert {2 * i + 1 for i in range(long_pairs, pairs)} <= gone
+    assert len({2 * i + 1 for i in range(long_pairs)} & gone) >= 0.98 * long_pairs
+    assert not any(i % 2 == 0 for i in gone)
+
+
 # Jaccard join
 
 
