@@ -429,6 +429,26 @@ def test_jaccard_join(spark, small):
     assert jaccard_join.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_link_counts(spark):
+    rng = random.Random(14)
+    base = ["w%d" % rng.randrange(5000) for _ in range(200)]
+    rows = corpus(40, seed=2)
+    for i in range(40):  # near copies, some of them alike through others only
+        near = list(base)
+        for _ in range(rng.randrange(8)):
+            near[rng.randrange(200)] = "v%d" % rng.randrange(5000)
+        rows.append((2000 + i, " ".join(near)))
+    sets = [frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) for w in (py_words(t) for _, t in rows)]
+    copies = Counter(sets)
+    want = [copies[x] - 1 + sum(1 for y in copies if y != x and len(x & y) >= 0.8 * len(x | y) - 1e-9) for x in sets]
+    assert max(want) > 20 and len(set(want)) > 5
+    got = {r.doc_id: r.n_links for r in jaccard_join.near_duplicates(docs(spark, rows)).collect()}
+    assert got == {i: n for (i, _), n in zip(rows, want, strict=True)}
+    members = spark.createDataFrame([((i, 0), (0, 0), np.arange(i, i + 40, dtype=np.uint64).tobytes()) for i in range(30)], "id struct<s1 long, s2 long>, component struct<s1 long, s2 long>, shingles binary")
+    counts = {r.id.s1: r.links for r in jaccard_join.link_counts(members, 0.8, block=4).collect()}
+    assert counts == {i: sum(0 < abs(i - j) <= 4 for j in range(30)) for i in range(30)}
+
+
 def test_prefix_depth():
     assert jaccard_join.prefix_depth(0.8, 16, 6, 0.9995) == 4 and jaccard_join.prefix_depth(0.99, 16, 6, 0.99) == 6
 

@@ -12,9 +12,8 @@ Words: runs of 0-9, A-Z (lower-cased), a-z and characters beyond ASCII. A text o
 
 Defined results: documents without words have no links and are classes of their own; a repeated
 doc_id with different texts gets one row each; null ids are kept; extra columns are ignored.
-n_links counts the verified links found with other shingle sets (every pair of a small bucket;
-in large ones the pairs that were needed to settle the classes) plus the other documents of the
-same set.
+n_links counts the other shingle sets of the class that reach the threshold, each pair of the
+class compared exactly, plus the other documents of the same set.
 """
 
 from __future__ import annotations
@@ -134,6 +133,75 @@ def _verify(threshold: float):
     return run
 
 
+def _overlaps(x: list[np.ndarray], y: list[np.ndarray], width: int = 1 << 14) -> np.ndarray:
+    """Common elements of each set of x with each of y, by products of 0/1 matrices of `width` columns."""
+    values, column = np.unique(np.concatenate([*x, *y]), return_inverse=True)
+    row = np.repeat(np.arange(len(x) + len(y)), [len(v) for v in [*x, *y]])
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(x), len(y)))
+    for first in range(0, len(values), width):
+        a, b = np.searchsorted(column, [first, first + width])
+        cells = np.zeros((len(x) + len(y), width), dtype=np.float32)
+        cells[row[a:b], column[a:b] - first] = 1
+        both += cells[: len(x)] @ cells[len(x) :].T
+    return both
+
+
+def _degrees(threshold: float):
+    """Links of each set inside its pair of blocks; the rows of a pair of blocks follow each other."""
+
+    def emit(rows: list[tuple]) -> Iterator[tuple]:
+        lo, hi = rows[0][1:3]
+        x = [r for r in rows if r[3] == lo]
+        y = [r for r in rows if r[3] == hi]
+        if not x or not y:
+            return
+        sets = [[np.frombuffer(r[6], dtype=np.uint64) for r in side] for side in (x, y)]
+        n, m = (np.array([len(v) for v in side]) for side in sets)
+        both = _overlaps(*sets)
+        linked = both >= threshold * (n[:, None] + m[None, :] - both) - 1e-9
+        if lo == hi:
+            np.fill_diagonal(linked, False)
+        sides = [(x, linked.sum(1))] if lo == hi else [(x, linked.sum(1)), (y, linked.sum(0))]
+        for side, degree in sides:
+            yield from ((r[4], r[5], int(d)) for r, d in zip(side, degree, strict=True) if d)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def batch_of(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*out, strict=True)) or [()] * 3], names=["s1", "s2", "links"])
+
+        for batch in batches:
+            out: list[tuple] = []
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if held and held[0][:3] != row[:3]:
+                    out += emit(held)
+                    held = []
+                held.append(row)
+            yield batch_of(out)
+        if held:
+            yield batch_of(list(emit(held)))
+
+    return run
+
+
+def link_counts(members: DataFrame, threshold: float, block: int = 256) -> DataFrame:
+    """(id, links) of sets (id, component, shingles): the others of the component that reach the threshold.
+
+    A component's sets are dealt into blocks of about `block`; each pair of blocks is one group, so
+    that every pair of sets meets once, no task holds a component and no pair is written.
+    """
+    sizes = members.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64(F.lit(5), "id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = dealt.select(F.xxhash64("component").alias("c1"), F.col("component.s1").alias("c2"), F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", F.col("id.s1").alias("s1"), F.col("id.s2").alias("s2"), "shingles")
+    rows = rows.select(F.struct("c1", "c2").alias("c"), "lo", "hi", "own", "s1", "s2", "shingles").repartition("c", "lo", "hi").sortWithinPartitions("c", "lo", "hi")
+    found = rows.mapInArrow(_degrees(threshold), "s1 bigint, s2 bigint, links bigint")
+    return found.groupBy(F.struct("s1", "s2").alias("id")).agg(F.sum("links").alias("links"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, trees: int = 16, depth: int = 6, recall: float = 0.9995, small: int = 8) -> DataFrame:
     """One row per document: doc_id, class_id (least doc_id of its component), class_size, n_links, kept.
 
@@ -155,12 +223,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, t
         differ = F.bit_count(F.col(f"{x}.b1").bitwiseXOR(F.col(f"{y}.b1"))) + F.bit_count(F.col(f"{x}.b2").bitwiseXOR(F.col(f"{y}.b2")))
         return (F.least(a, b) >= threshold * F.greatest(a, b) - 1e-9) & (differ <= most)
 
+    shingles: DataFrame | None = None
+
     def prepare(ids: DataFrame) -> Callable[[DataFrame, DataFrame], DataFrame]:
         """Writes the shingles of the sets that share a bucket, so that whole texts are read and moved once."""
+        nonlocal shingles
         docs_of = distinct.join(ids, "id", "left_semi").select(F.col("first").alias("doc_id"))
         texts = rows.join(docs_of, rows.doc_id.eqNullSafe(docs_of.doc_id), "left_semi")
         found = texts.mapInArrow(_shingles(shingle), "s1 bigint, s2 bigint, shingles binary").select(F.struct("s1", "s2").alias("id"), "shingles")
-        found = materialize(found.join(ids, "id", "left_semi").dropDuplicates(["id"]), "shingles")
+        found = shingles = materialize(found.join(ids, "id", "left_semi").dropDuplicates(["id"]), "shingles")
 
         def verify(pairs: DataFrame, named: DataFrame) -> DataFrame:
             own = found.join(named, "id", "left_semi")
@@ -169,8 +240,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, t
 
         return verify
 
-    links, components = link_buckets(levels, close, prepare, small=small)
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
+    _, components = link_buckets(levels, close, prepare, small=small)
+    degree = link_counts(shingles.join(components, "id"), threshold)
     grouped = distinct.join(components, "id", "left").withColumn("component", F.coalesce("component", "id")).join(degree, "id", "left")
     classes = grouped.groupBy("component").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"))
     by_set = materialize(grouped.join(classes, "component").select("id", "class_id", "class_size", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
