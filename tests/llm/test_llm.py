@@ -484,6 +484,14 @@ def test_packing(spark, fixture_docs):
     assert packing.pack(docs(spark, []), encoder).count() == 0
 
 
+def test_packing_added_tokens():
+    public = pytest.importorskip("public_tokenizers")
+    ranks = packing.rank_encoder(public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+    whole = packing.json_encoder(public.path("byte_bpe_50k.json"))
+    for text in ("a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|>\n\n y", "<|endoftext|", "a  b"):
+        assert list(ranks(text)) == list(whole(text))
+
+
 # WARC
 
 

@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -29,12 +31,22 @@ PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_toke
 
 @functools.cache
 def rank_encoder(path: str, pattern: str):
-    """The byte-level BPE of a rank file; same ids as the tokenizers file of that vocabulary, at three times its speed."""
+    """The byte-level BPE of a rank file; same ids as the tokenizers file of that vocabulary, at three times its speed.
+
+    The added tokens are those of the JSON file beside it; a text that holds one is split there.
+    """
     import tiktoken
 
+    beside = os.path.splitext(path)[0] + ".json"
+    added = {}
+    if os.path.exists(beside):
+        with open(beside, encoding="utf-8") as file:
+            added = {t["content"]: t["id"] for t in json.load(file).get("added_tokens", [])}
+
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
+    return lambda text: encoding.encode(text, allowed_special="all")
 
 
 @functools.cache
