@@ -4,6 +4,7 @@ import random
 from collections import deque
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,6 +59,32 @@ def test_star_and_pagerank(spark):
     assert graph.pagerank(star.limit(0)).count() == 0
 
 
+def test_iterations_converge(spark):
+    rng = random.Random(6)
+    n = 120
+    pairs = {(i, i + 1) for i in range(n - 1)} | {tuple(sorted(rng.sample(range(n), 2))) for _ in range(40)}
+    rows = [("n%03d" % u, "n%03d" % v, round(rng.uniform(0.2, 1), 2)) for u, v in sorted(pairs)]
+    a = np.zeros((n, n))
+    for u, v, w in rows:
+        a[int(u[1:]), int(v[1:])] = a[int(v[1:]), int(u[1:])] = w
+    g = edges(spark, rows).repartition(2)
+    rank, step = np.full(n, 1 / n), a / a.sum(0)
+    for _ in range(2000):
+        rank = 0.15 / n + 0.85 * step @ rank
+    got = by_id(graph.pagerank(g))
+    assert sum(abs(got["n%03d" % i] - rank[i]) for i in range(n)) < 1e-7
+    x, rounds = np.ones(n), 0
+    while rounds < 500:
+        y = a @ x + x
+        y /= np.linalg.norm(y)
+        moved, x, rounds = np.abs(y - x).sum(), y, rounds + 1
+        if moved < 1e-6:
+            break
+    assert rounds > 50  # so that a rule that stops early is seen
+    got = by_id(graph.eigenvector(g))
+    assert sum(abs(got["n%03d" % i] - x[i]) for i in range(n)) < 1e-6
+
+
 def test_betweenness_matches_brute_force(spark):
     rng = random.Random(1)
     rows = list({tuple(sorted(rng.sample("abcdefghijkl", 2))) for _ in range(22)})

@@ -61,13 +61,13 @@ def pagerank(edges: DataFrame, directed: bool = False, alpha: float = 0.85, tol:
         new = settle(new)
         moved = new.agg(F.sum(F.abs(F.col("new") - F.col("score")))).first()[0]
         rank = new.select("id", "dangling", F.col("new").alias("score"))
-        if moved < n * tol:
+        if moved < tol:
             break
     return rank.select("id", "score")
 
 
 def eigenvector(edges: DataFrame, shift: bool = True, tol: float = 1e-6, max_rounds: int = 500) -> DataFrame:
-    """Weighted power iteration; shift adds the identity, so that bipartite graphs converge too."""
+    """Weighted power iteration; shift adds the identity, so that bipartite graphs converge too; stops on the L1 change."""
     links = settle(both(edges))
     rank = nodes(edges).withColumn("x", F.lit(1.0))
     n = rank.count()
@@ -77,7 +77,7 @@ def eigenvector(edges: DataFrame, shift: bool = True, tol: float = 1e-6, max_rou
         norm = new.agg(F.sqrt(F.sum(F.col("y") * F.col("y")))).first()[0] or 1.0
         moved = new.agg(F.sum(F.abs(F.col("y") / norm - F.col("x")))).first()[0]
         rank = new.select("id", (F.col("y") / norm).alias("x"))
-        if moved < n * tol:
+        if moved < tol:
             break
     return rank.withColumnRenamed("x", "score")
 

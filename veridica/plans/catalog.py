@@ -557,12 +557,12 @@ def g_degree(fx):
 
 @query()
 def g_pagerank(fx):
-    return graph.pagerank(edges(fx), max_rounds=20, tol=1e-6)
+    return graph.pagerank(edges(fx))
 
 
 @query()
 def g_eigenvector(fx):
-    return graph.eigenvector(edges(fx), max_rounds=15)
+    return graph.eigenvector(edges(fx))
 
 
 @query()
