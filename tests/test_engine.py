@@ -117,6 +117,17 @@ def test_paths(spark):
     assert graph.shortest_paths(g, "a", "nowhere", 3).count() == 0
 
 
+def test_no_length_or_size_limit(spark):
+    line = [("n%02d" % i, "n%02d" % (i + 1), 1.0) for i in range(11)]
+    g = edges(spark, [*line, ("n00", "m", 1.0), ("m", "x", 1.0), ("x", "n01", 1.0)]).coalesce(1)
+    assert [r.hops for r in graph.shortest_paths(g, "n00", "n11", 5).collect()] == [11, 13]
+    assert graph.shortest_paths(g, "n00", "n11", 5, max_length=8).count() == 0
+    big = edges(spark, [("c%02d" % i, "c%02d" % j, 1.0) for i, j in combinations(range(13), 2)]).coalesce(1)
+    assert [r["size"] for r in graph.cliques(big).collect()] == [13]
+    with pytest.raises(RuntimeError):
+        graph.cliques(big, max_size=3)
+
+
 def test_hierarchy_and_influence(spark):
     tree = spark.createDataFrame([("boss", "mid"), ("mid", "w1"), ("mid", "w2"), ("p", "q"), ("q", "p")], "boss string, report string")
     assert by_id(graph.hierarchy(tree), "level") == {"boss": 0, "mid": 1, "w1": 2, "w2": 2, "p": None, "q": None}

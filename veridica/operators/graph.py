@@ -288,20 +288,25 @@ def bridges(edges: DataFrame) -> DataFrame:
     return cut.select(F.least("id", "up").alias("u"), F.greatest("id", "up").alias("v"))
 
 
-def cliques(edges: DataFrame, max_size: int = 12) -> DataFrame:
-    """(members, size) of the maximal cliques: level-wise extension by larger ids; maximal when no node extends it."""
+def cliques(edges: DataFrame, max_size: int | None = None) -> DataFrame:
+    """(members, size) of the maximal cliques: level-wise extension by larger ids; maximal when no node extends it.
+
+    With max_size, a clique of more nodes is an error: none is left out in silence.
+    """
     adjacent = settle(both(edges).groupBy("u").agg(F.array_sort(F.collect_set("v")).alias("adj")))
     now = adjacent.select(F.array("u").alias("members"), F.col("adj").alias("common"))
-    out = None
-    for _ in range(max_size):
+    out, size = None, 0
+    while True:
+        size += 1
         now = settle(now)
         done = now.where(F.size("common") == 0).select("members", F.size("members").alias("size"))
         out = done if out is None else out.unionByName(done)
         grow = now.where(F.size("common") > 0).select("members", "common", F.explode(F.filter("common", lambda x: x > F.element_at("members", -1))).alias("u"))
         now = grow.join(adjacent, "u").select(F.concat("members", F.array("u")).alias("members"), F.array_intersect("common", "adj").alias("common"))
         if not now.take(1):
-            break
-    return out
+            return out
+        if size == max_size:
+            raise RuntimeError(f"a clique has more than {max_size} nodes")
 
 
 def hierarchy(command: DataFrame) -> DataFrame:
@@ -359,19 +364,34 @@ def best_paths(edges: DataFrame, source: str, kind: str) -> DataFrame:
             return now.select("id", "score", (F.size("path") - 1).alias("hops"), "path")
 
 
-def shortest_paths(edges: DataFrame, source: str, target: str, k: int, max_length: int = 8) -> DataFrame:
-    """The k shortest simple paths by hops, ties in order of their ids; partial paths that cannot reach in time are cut."""
+def shortest_paths(edges: DataFrame, source: str, target: str, k: int, max_length: int | None = None) -> DataFrame:
+    """The k shortest simple paths by hops, ties in order of their ids.
+
+    The length allowed starts at the distance and grows until k paths are found or no path is cut
+    by it; partial paths that cannot reach the target in time are cut.
+    """
     spark = edges.sparkSession
     back = levels(edges, spark.createDataFrame([(target,)], "seed string"), max_length).select("id", F.col("dist").alias("left"))
     links = settle(both(edges).select("u", "v").join(back.withColumnRenamed("id", "v"), "v"))
-    now = settle(nodes(edges).where(F.col("id") == source).select(F.array("id").alias("path")))
-    out = now.where(F.element_at("path", -1) == target)
-    for length in range(1, max_length + 1):
-        now = now.where(F.element_at("path", -1) != target).select("path", F.element_at("path", -1).alias("u")).join(links, "u").where(~F.array_contains("path", F.col("v")) & (F.col("left") + length <= max_length)).select(F.concat("path", F.array("v")).alias("path"))
-        now = settle(now)
-        out = out.unionByName(now.where(F.element_at("path", -1) == target))
-        if out.count() >= k or not now.take(1):
+    start = settle(nodes(edges).where(F.col("id") == source).select(F.array("id").alias("path")))
+    out = start.where(F.element_at("path", -1) == target)
+    nearest = back.where(F.col("id") == source).first()
+    allowed = nearest.left if nearest else 0
+    cut = nearest is not None and out.count() < k
+    while cut and (max_length is None or allowed <= max_length):
+        now, cut = start, False
+        out = start.where(F.element_at("path", -1) == target)
+        for length in range(1, allowed + 1):
+            step = now.where(F.element_at("path", -1) != target).select("path", F.element_at("path", -1).alias("u")).join(links, "u").where(~F.array_contains("path", F.col("v")))
+            step = settle(step.select(F.concat("path", F.array("v")).alias("path"), (F.col("left") + length > allowed).alias("late")))
+            cut = cut or bool(step.where("late").take(1))
+            now = step.where("not late").select("path")
+            out = out.unionByName(now.where(F.element_at("path", -1) == target))
+            if not now.take(1):
+                break
+        if out.count() >= k:
             break
+        allowed += 1
     return out.select((F.size("path") - 1).alias("hops"), F.array_join("path", ">").alias("path")).orderBy("hops", "path").limit(k)
 
 
