@@ -8,8 +8,9 @@ once with its number of occurrences.
 
 Corpus order is needed among strings of one trigger only. A phrase that occurs twice repeats all
 its strings. Phrases that occur once but share a trigger with others are compared in the
-dictionary: the strings inside them are sorted by content across the trigger's phrases, and equal
-neighbours are repeats. Unique regions of the corpus drop out at the trigger count, so the work
+dictionary: the 64-bit hashes of the strings inside them are sorted across the trigger's phrases,
+and equal neighbours are repeats. This takes the place of suffix arrays of the dictionary and parse:
+repeats need equal strings, not the order of different ones. Unique regions of the corpus drop out at the trigger count, so the work
 follows the repetitive part. Triggers with more than `wide` distinct phrases are compared by a
 distributed group-by of string fingerprints rather than in one task; results are the same.
 
