@@ -30,22 +30,28 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = shared_path(spark, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(*frames: DataFrame) -> None:
-    """Delete what materialize() wrote, once nothing reads it any more."""
+    """Delete what materialize() wrote, once nothing reads it any more.
+
+    The driver's collector then runs, so that Spark's cleaner drops the shuffle files of the jobs
+    that are over; it only does so for jobs whose plans have been collected.
+    """
     for df in frames:
         jvm = df.sparkSession.sparkContext._jvm
         conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf).delete(path, True)
+    if frames:
+        frames[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def row_slices(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:

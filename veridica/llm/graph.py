@@ -1,134 +1,49 @@
-"""Connected components and links inside buckets, as DataFrame jobs."""
+"""Connected components as DataFrame jobs."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veridica.llm.common import discard, materialize
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-    return tuple(row)
+def _least_neighbour(edges: DataFrame) -> DataFrame:
+    """(id, to): the least of each node and its neighbours."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    return both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("id"), F.least("u", "v").alias("to"))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(id, component) of every id in edges (u, v); component is the smallest id reached.
 
-    Alternates large-star and small-star steps until no edge changes: O(log^2 n) rounds, each a
-    group-by with partial aggregation and a join, written to the shared folder. No driver-side
-    graph, no task that holds a component. Null ends and self loops are ignored.
-    """
-    now = edges.select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).where("u is not null and v is not null and u <> v").distinct()
-    now = materialize(now.select("u", "v"), "star")
-    seen = _fingerprint(now)
-    for _ in range(max_rounds):
-        if not seen[0]:
-            break
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(small_least, "u")
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = materialize(small.unionByName(small_least.select("u", F.col("m").alias("v"))).distinct(), "star")
-        after = _fingerprint(new)
-        discard(now)
-        now = new
-        if after == seen:
-            break
-        seen = after
-    else:
-        raise RuntimeError("components did not settle")
-    roots = now.select(F.col("v").alias("id")).distinct().withColumn("component", F.col("id"))
-    return now.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).unionByName(roots.join(now.select(F.col("u").alias("id")), "id", "left_anti"))
-
-
-def link_buckets(
-    levels: list[DataFrame],
-    close: Callable[[str, str], Column],
-    prepare: Callable[[DataFrame], Callable[[DataFrame, DataFrame], DataFrame]],
-    small: int = 8,
-    leader_rounds: int = 5,
-) -> tuple[DataFrame, DataFrame]:
-    """(links (a, b), components (id, component)) of the pairs that share a bucket and pass a check.
-
-    levels: frames (bucket, id, and columns for `close`), searched in turn; a later level only
-    compares ids that the earlier ones left in different components. close(x, y) is a cheap
-    necessary condition on two aliases. prepare gets the distinct ids (id) that share any bucket,
-    once, writes what comparing them needs and returns verify; verify gets pairs (a, b), a < b,
-    each once, and their distinct ids (id), both written, and returns the pairs linked. Buckets of at most `small` ids compare all their pairs. In a larger one, each
-    round compares two of its ids (the first by hash) with every id of another component; what is
-    still apart when few are left, or after leader_rounds, is compared pair by pair.
+    Each round contracts every node into the least of itself and its neighbours, and what is left
+    of the edges goes to the next; the contractions are composed in the end. A round is one
+    group-by with partial aggregation and two joins, written to the shared folder; a component is
+    never gathered. A round takes every node but local minima away, so that rounds grow with the
+    logarithm of a component's size in all but contrived orders of ids. Null ends and self loops
+    are ignored.
     """
-    links: DataFrame | None = None
-    comp: DataFrame | None = None
-
-    def settled(pairs: DataFrame) -> bool:
-        """Verify candidate pairs; true if there were none."""
-        nonlocal links, comp
-        pairs = materialize(pairs, "pairs")
-        if not pairs.take(1):
-            discard(pairs)
-            return True
-        named = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "named")
-        found = materialize(verify(pairs, named), "links")
-        discard(pairs, named)
-        if not found.take(1):
-            discard(found)
-            return True
-        links = found if links is None else links.unionByName(found)
-        edges = found.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        if comp is not None:  # the components so far stand for the earlier links
-            edges = edges.unionByName(comp.select(F.col("id").alias("u"), F.col("component").alias("v")))
-        comp = materialize(connected_components(edges), "components")
-        return False
-
-    def members(level: DataFrame) -> DataFrame:
-        if comp is None:
-            return level.withColumn("c", F.col("id"))
-        return level.join(comp, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-
-    def meet(left: DataFrame, right: DataFrame, once: bool) -> DataFrame:
-        apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.c") != F.col("y.c")) & close("x", "y")
-        if once:
-            apart = apart & (F.col("x.id") < F.col("y.id"))
-        return left.alias("x").join(right.alias("y"), apart).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-
-    def chosen(rows: DataFrame, step: int) -> DataFrame:
-        """Two ids of each bucket, the first by two hashes."""
-        row = F.struct(*[c for c in rows.columns if c != "bucket"])
-        picks = [F.min_by(row, F.xxhash64(F.lit(2 * step + i), F.col("id"))) for i in (0, 1)]
-        return rows.groupBy("bucket").agg(F.array_distinct(F.array(*picks)).alias("s")).select("bucket", F.explode("s").alias("s")).select("bucket", "s.*")
-
-    shared = []
-    for level in levels:
-        sizes = level.groupBy("bucket").agg(F.count("*").alias("_size")).where("_size > 1")
-        shared.append(materialize(level.join(sizes, "bucket"), "buckets"))
-    candidates = materialize(reduce(DataFrame.unionByName, [kept.select("id") for kept in shared]).distinct(), "candidates")
-    verify = prepare(candidates)
-    discard(candidates)
-    for kept in shared:
-        few, many = (members(kept.where(F.col("_size") <= small).drop("_size")), members(kept.where(F.col("_size") > small).drop("_size")))
-        settled(meet(few, few, True).unionByName(meet(chosen(many, 0), many, False)).distinct())
-        for step in range(1, leader_rounds + 1):
-            rows = members(kept.where(F.col("_size") > small).drop("_size"))
-            mixed = rows.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").cast("double").alias("n")).where("c0 <> c1")
-            left = mixed.agg(F.count("*"), F.sum(F.col("n") * F.col("n"))).first()
-            if not left[0]:
-                break
-            rows = materialize(rows.join(mixed.select("bucket"), "bucket"), "members")
-            last = step == leader_rounds or left[1] <= 4e6
-            settled((meet(rows, rows, True) if last else meet(chosen(rows, step), rows, False)).distinct())
-            discard(rows)
-            if last:
-                break
-        discard(kept)
-    if links is None:
-        empty = levels[0].select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-        return empty, empty.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    return links.distinct(), comp
+    now = edges.where("u is not null and v is not null and u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    now = materialize(now.distinct(), "edges")
+    rounds = []
+    while not now.isEmpty():
+        if len(rounds) == max_rounds:
+            raise RuntimeError("components did not settle")
+        rounds.append(now)
+        step = _least_neighbour(now)
+        moved = now.join(step.select(F.col("id").alias("u"), F.col("to").alias("a")), "u").join(step.select(F.col("id").alias("v"), F.col("to").alias("b")), "v")
+        now = materialize(moved.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "edges")
+    if not rounds:
+        return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    component = None
+    for own in reversed(rounds):
+        step = _least_neighbour(own)
+        if component is None:
+            component = step.select("id", F.col("to").alias("component"))
+        else:
+            later = component.select(F.col("id").alias("to"), F.col("component").alias("later"))
+            component = step.join(later, "to", "left").select("id", F.coalesce("later", "to").alias("component"))
+    settled = materialize(component, "components")
+    discard(now, *rounds)
+    return settled

@@ -1,19 +1,28 @@
 """N-gram Jaccard join with a MinHash LSH forest.
 
 Documents with equal sets of word shingles collapse to one class representative. Each set gets a
-signature of `trees` tries of depth `depth`; sets that share the prefix of a trie are candidates.
-The search starts from the longest prefixes, which link near copies cheaply, and shortens the
-matched prefix until 1 - (1 - J ** k) ** trees reaches the target recall at the threshold; a
-shorter prefix only compares sets still in different components. Candidates are verified exactly
-on their whole shingle sets.
+path of `depth` MinHashes in each of `trees` tries. A trie is the sorted list of its paths, dealt
+to tasks by the prefix of the depth searched, so that the sets below a trie node follow each
+other. The search starts from long prefixes and shortens them by one until the target recall is
+reached: the agreement of two sets' 128 MinHash bits estimates their Jaccard similarity j, a pair
+of similarity j meets at depth k with chance 1 - (1 - j ** k) ** trees, and the sum of the
+reciprocal chances over the pairs met estimates how many there are in all. At the latest it stops
+at the depth where pairs of exactly the threshold reach the target.
+
+Sets below a node whose bits agree well enough (about 4 standard deviations under the threshold)
+are joined into groups; a task writes a spanning forest of a node, never its pairs. Groups are
+connected components of these. Inside groups every pair of sets is compared exactly, on whole
+shingle sets, block by block: a block pair gives the number of links of each set and a spanning
+forest of its links. Components of these are the classes. Neither a trie node nor a group is
+gathered whole: both are dealt into pairs of blocks.
 
 Words: runs of 0-9, A-Z (lower-cased), a-z and characters beyond ASCII. A text of fewer words than
 `shingle`, but not none, is one shingle.
 
 Defined results: documents without words have no links and are classes of their own; a repeated
 doc_id with different texts gets one row each; null ids are kept; extra columns are ignored.
-n_links counts the other shingle sets of the class that reach the threshold, each pair of the
-class compared exactly, plus the other documents of the same set.
+n_links counts the other shingle sets that reach the threshold, each pair of a group compared
+exactly, plus the other documents of the same set. doc_id must cast to a long.
 """
 
 from __future__ import annotations
@@ -23,11 +32,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veridica.llm.common import BASE, discard, materialize, mix64, row_slices, utf8_bytes, words
-from veridica.llm.graph import link_buckets
+from veridica.llm.graph import connected_components
+
+#: MinHash bits that are compared before shingles are.
+BITS = 128
 
 
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -53,8 +65,10 @@ def prefix_depth(threshold: float, trees: int, depth: int, recall: float) -> int
     return depth
 
 
-def _sets(n: int, trees: int, depths: list[int]):
-    salts = mix64(np.arange(1, trees * max(depths) + 1, dtype=np.uint64) * np.uint64(BASE))
+def _sets(n: int, trees: int, depth: int, floor: int):
+    """Texts to their set's id, size, MinHash bits and, per tree, hashes of the prefixes of depths floor to depth."""
+    salts = mix64(np.arange(1, trees * depth + 1, dtype=np.uint64) * np.uint64(BASE))
+    levels = depth - floor + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -63,18 +77,18 @@ def _sets(n: int, trees: int, depths: list[int]):
                 hashes, start = shingle_hashes(data, offsets, n)
                 rows = np.flatnonzero(np.diff(start))
                 starts = start[:-1][rows]
-                keys: list[list[np.ndarray]] = [[] for _ in depths]
+                keys = np.zeros((len(part), trees, levels), dtype=np.uint64)
                 bits = np.zeros((2, len(rows)), dtype=np.uint64)
                 for tree in range(trees):
                     prefix = np.full(len(rows), np.uint64(tree + 1))
-                    for level in range(max(depths)):
-                        salt = salts[tree * max(depths) + level]
+                    for level in range(depth):
+                        place = tree * depth + level
+                        salt = salts[place]
                         low = np.minimum.reduceat((hashes ^ salt) * (salt | np.uint64(1)), starts) if len(rows) else np.zeros(0, np.uint64)
                         prefix = mix64(prefix * np.uint64(BASE) + low)
-                        if level + 1 in depths:
-                            keys[depths.index(level + 1)].append(prefix)
-                        place = tree * max(depths) + level
-                        if place < 128:
+                        if level + 1 >= floor:
+                            keys[rows, tree, level + 1 - floor] = prefix
+                        if place < BITS:
                             bits[place // 64] |= (mix64(low) & np.uint64(1)) << np.uint64(place % 64)
                 sizes, ids = np.zeros(len(part), dtype=np.int64), np.zeros((2, len(part)), dtype=np.int64)
                 for r in rows:
@@ -88,14 +102,9 @@ def _sets(n: int, trees: int, depths: list[int]):
                     full[rows] = values.view(np.int64)
                     return pa.array(full, mask=mask)
 
-                lists = []
-                for k in keys:
-                    flat = np.zeros((len(part), trees), dtype=np.int64)
-                    if len(rows):
-                        flat[rows] = np.stack(k, axis=1).view(np.int64)
-                    lists.append(pa.FixedSizeListArray.from_arrays(pa.array(flat.ravel()), trees).cast(pa.list_(pa.int64())))
-                cells = [part.column("doc_id"), pa.array(ids[0], mask=mask), pa.array(ids[1], mask=mask), pa.array(sizes), spread(bits[0]), spread(bits[1]), *lists]
-                yield pa.RecordBatch.from_arrays(cells, names=["doc_id", "s1", "s2", "n", "b1", "b2", *[f"keys{d}" for d in depths]])
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), trees * levels).cast(pa.list_(pa.int64()))
+                cells = [part.column("doc_id"), part.column("text_hash"), pa.array(ids[0], mask=mask), pa.array(ids[1], mask=mask), pa.array(sizes), spread(bits[0]), spread(bits[1]), lists]
+                yield pa.RecordBatch.from_arrays(cells, names=["doc_id", "text_hash", "s1", "s2", "n", "b1", "b2", "keys"])
 
     return run
 
@@ -120,19 +129,109 @@ def _shingles(n: int):
     return run
 
 
-def _verify(threshold: float):
+def spanning(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(root, member) of the components of a symmetric boolean matrix: a forest of stars, each row expanded once."""
+    n = len(linked)
+    root = np.full(n, -1)
+    for first in np.flatnonzero(linked.any(axis=1)):
+        if root[first] >= 0:
+            continue
+        root[first] = first
+        front = np.array([first])
+        while len(front):
+            front = np.flatnonzero(linked[front].any(axis=0) & (root < 0))
+            root[front] = first
+    member = np.flatnonzero((root >= 0) & (root != np.arange(n)))
+    return root[member], member
+
+
+def _held_groups(columns: list[str], n_keys: int, emit: Callable[[dict[str, np.ndarray], np.ndarray], list[pa.RecordBatch]]):
+    """Calls emit with whole groups: rows with equal first n_keys columns, which follow each other; small groups are put together."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def whole(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            cells = {c: table.column(c).combine_chunks() for c in columns}
+            keys = [np.asarray(cells[c]) for c in columns[:n_keys]]
+            new = np.zeros(len(table), dtype=bool)
+            new[0] = True
+            for k in keys:
+                new[1:] |= k[1:] != k[:-1]
+            yield from emit(cells, np.append(np.flatnonzero(new), len(table)))
+
         for batch in batches:
-            keep = np.zeros(len(batch), dtype=bool)
-            for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
-                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep[i] = both >= threshold * (len(x) + len(y) - both) - 1e-9
-            yield batch.filter(pa.array(keep)).select(["a", "b"])
+            if not len(batch):
+                continue
+            turns = np.zeros(len(batch), dtype=bool)
+            for c in columns[:n_keys]:
+                k = np.asarray(batch.column(c))
+                turns[1:] |= k[1:] != k[:-1]
+                turns[0] |= bool(held) and held[-1].column(c)[-1].as_py() != k[0]
+            cuts = np.flatnonzero(turns)
+            if len(cuts):  # the last group may go on
+                ready = [*held, batch.slice(0, cuts[-1])]
+                held = []
+                if sum(len(x) for x in ready):
+                    yield from whole(pa.Table.from_batches(ready))
+                batch = batch.slice(cuts[-1])
+            held.append(batch)
+        if held:
+            yield from whole(pa.Table.from_batches(held))
 
     return run
 
 
+def _walk(most: int, small: int):
+    """Sets below the trie nodes whose bits differ in at most `most`: spanning links, and counts of pairs by differing bits.
+
+    Rows: bucket, lo, hi, own, s1, s2, n, b1, b2, sorted by bucket, lo, hi. Nodes of at most `small` sets are
+    compared together, by shifts of the sorted list; larger ones by a matrix for each pair of blocks.
+    """
+
+    def emit(cells: dict, cuts: np.ndarray) -> list[pa.RecordBatch]:
+        col = {c: np.asarray(v) for c, v in cells.items()}
+        b = np.stack([col["b1"].view(np.uint64), col["b2"].view(np.uint64)])
+        sizes = np.diff(cuts)
+        group = np.repeat(np.arange(len(sizes)), sizes)
+        few = sizes[group] <= small
+        pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        counts = np.zeros(BITS + 1, dtype=np.int64)
+        for shift in range(1, small):
+            x = np.flatnonzero(few[:-shift] & (group[:-shift] == group[shift:])) if len(group) > shift else np.zeros(0, dtype=np.int64)
+            if not len(x):
+                break
+            y = x + shift
+            meet = (col["lo"][x] == col["hi"][x]) | (col["own"][x] != col["own"][y])
+            x, y = x[meet], y[meet]
+            differ = np.bitwise_count(b[:, x] ^ b[:, y]).sum(axis=0, dtype=np.int64)
+            counts += np.bincount(differ, minlength=BITS + 1)
+            near = differ <= most
+            pairs.append((x[near], y[near]))
+        for g in np.flatnonzero(sizes > small):
+            rows = np.arange(cuts[g], cuts[g + 1])
+            differ = np.bitwise_count(b[0, rows][:, None] ^ b[0, rows]) + np.bitwise_count(b[1, rows][:, None] ^ b[1, rows])
+            if col["lo"][rows[0]] != col["hi"][rows[0]]:
+                own = col["own"][rows]
+                differ[own[:, None] == own] = 255
+            else:
+                np.fill_diagonal(differ, 255)
+            seen = np.bincount(differ[np.triu_indices(len(rows), 1)] if len(rows) < 64 else differ.ravel(), minlength=256)[: BITS + 1]
+            counts += seen if len(rows) < 64 else seen // 2
+            root, member = spanning(differ <= most)
+            pairs.append((rows[root], rows[member]))
+        x, y = (np.concatenate([p[i] for p in pairs]) if pairs else np.zeros(0, dtype=np.int64) for i in (0, 1))
+        found = [pa.array(v) for v in (col["s1"][x], col["s2"][x], col["s1"][y], col["s2"][y])]
+        names = ["a1", "a2", "b1", "b2", "differ", "pairs"]
+        out = [pa.RecordBatch.from_arrays([*found, pa.nulls(len(x), pa.int64()), pa.nulls(len(x), pa.int64())], names=names)]
+        at = np.flatnonzero(counts)
+        none = pa.nulls(len(at), pa.int64())
+        out.append(pa.RecordBatch.from_arrays([none, none, none, none, pa.array(at), pa.array(counts[at])], names=names))
+        return out
+
+    return _held_groups(["bucket", "lo", "hi", "own", "s1", "s2", "b1", "b2"], 3, emit)
+
+
 def _overlaps(x: list[np.ndarray], y: list[np.ndarray], width: int = 1 << 14) -> np.ndarray:
     """Common elements of each set of x with each of y, by products of 0/1 matrices of `width` columns."""
     values, column = np.unique(np.concatenate([*x, *y]), return_inverse=True)
@@ -148,104 +247,143 @@ def _overlaps(x: list[np.ndarray], y: list[np.ndarray], width: int = 1 << 14) ->
     return both
 
 
-def _degrees(threshold: float):
-    """Links of each set inside its pair of blocks; the rows of a pair of blocks follow each other."""
-
-    def emit(rows: list[tuple]) -> Iterator[tuple]:
-        lo, hi = rows[0][1:3]
-        x = [r for r in rows if r[3] == lo]
-        y = [r for r in rows if r[3] == hi]
-        if not x or not y:
-            return
-        sets = [[np.frombuffer(r[6], dtype=np.uint64) for r in side] for side in (x, y)]
-        n, m = (np.array([len(v) for v in side]) for side in sets)
-        both = _overlaps(*sets)
-        linked = both >= threshold * (n[:, None] + m[None, :] - both) - 1e-9
-        if lo == hi:
-            np.fill_diagonal(linked, False)
-        sides = [(x, linked.sum(1))] if lo == hi else [(x, linked.sum(1)), (y, linked.sum(0))]
-        for side, degree in sides:
-            yield from ((r[4], r[5], int(d)) for r, d in zip(side, degree, strict=True) if d)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def batch_of(out: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*out, strict=True)) or [()] * 3], names=["s1", "s2", "links"])
-
-        for batch in batches:
-            out: list[tuple] = []
-            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if held and held[0][:3] != row[:3]:
-                    out += emit(held)
-                    held = []
-                held.append(row)
-            yield batch_of(out)
-        if held:
-            yield batch_of(list(emit(held)))
-
-    return run
+def _compare(threshold: float):
+    """Links and their spanning forest inside each pair of blocks of a group, exactly."""
+
+    def emit(cells: dict, cuts: np.ndarray) -> list[pa.RecordBatch]:
+        lo, hi, own, s1, s2 = (np.asarray(cells[c]) for c in ("lo", "hi", "own", "s1", "s2"))
+        shingles = cells["shingles"]
+        out: list[tuple] = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            rows = np.arange(a, b)
+            if lo[a] == hi[a]:
+                left = right = rows
+            else:
+                left, right = rows[own[rows] == lo[a]], rows[own[rows] == hi[a]]
+            if len(rows) < 2 or not len(left) or not len(right):
+                continue
+            sets = {r: np.frombuffer(shingles[int(r)].as_buffer(), dtype=np.uint64) for r in rows}
+            n = {r: len(v) for r, v in sets.items()}
+            x, y = [sets[r] for r in left], [sets[r] for r in right]
+            if len(rows) <= 6:
+                both = np.array([[len(np.intersect1d(u, v, assume_unique=True)) if u is not v else 0 for v in y] for u in x])
+            else:
+                both = _overlaps(x, y)
+            nx, ny = np.array([n[r] for r in left]), np.array([n[r] for r in right])
+            linked = both >= threshold * (nx[:, None] + ny[None, :] - both) - 1e-9
+            if left is right:
+                np.fill_diagonal(linked, False)
+                degree, square = linked.sum(1), linked
+            else:
+                degree = np.concatenate([linked.sum(1), linked.sum(0)])
+                square = np.zeros((len(rows), len(rows)), dtype=bool)
+                square[: len(left), len(left) :] = linked
+                square[len(left) :, : len(left)] = linked.T
+                rows = np.concatenate([left, right])
+            root = np.arange(len(rows))
+            r, m = spanning(square)
+            root[m] = r
+            out += [(int(s1[i]), int(s2[i]), int(s1[rows[j]]), int(s2[rows[j]]), int(d)) for i, j, d in zip(rows, root, degree, strict=True) if d]
+        return [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*out, strict=True)) or [()] * 5], names=["s1", "s2", "r1", "r2", "links"])]
+
+    return _held_groups(["g1", "g2", "lo", "hi", "own", "s1", "s2", "shingles"], 4, emit)
+
+
+def in_blocks(rows: DataFrame, key: str, sizes: DataFrame, block: int) -> DataFrame:
+    """rows plus lo, hi, own: a key's rows are dealt into blocks of about `block`, and every pair of blocks gets its rows.
+
+    sizes: (key, _n), keys of one row left out.
+    """
+    dealt = rows.join(sizes.select(key, F.ceil(F.col("_n") / block).cast("int").alias("_blocks")), key)
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64(F.lit(5), "s1", "s2"), F.col("_blocks")).cast("int"))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    return dealt.withColumn("lo", F.least("own", "_other")).withColumn("hi", F.greatest("own", "_other")).drop("_blocks", "_other")
 
 
-def link_counts(members: DataFrame, threshold: float, block: int = 256) -> DataFrame:
-    """(id, links) of sets (id, component, shingles): the others of the component that reach the threshold.
+def compared_links(members: DataFrame, threshold: float, block: int = 256) -> DataFrame:
+    """(s1, s2, r1, r2, links) of sets (s1, s2, g1, g2, shingles): how many of the others in a pair of blocks of the
+    group (g1, g2) reach the threshold, and a set of the pair of blocks that is linked with it, directly or not.
 
-    A component's sets are dealt into blocks of about `block`; each pair of blocks is one group, so
-    that every pair of sets meets once, no task holds a component and no pair is written.
+    Every pair of a group's sets meets once; no task holds a group and no pair is written.
     """
-    sizes = members.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64(F.lit(5), "id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = dealt.select(F.xxhash64("component").alias("c1"), F.col("component.s1").alias("c2"), F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", F.col("id.s1").alias("s1"), F.col("id.s2").alias("s2"), "shingles")
-    rows = rows.select(F.struct("c1", "c2").alias("c"), "lo", "hi", "own", "s1", "s2", "shingles").repartition("c", "lo", "hi").sortWithinPartitions("c", "lo", "hi")
-    found = rows.mapInArrow(_degrees(threshold), "s1 bigint, s2 bigint, links bigint")
-    return found.groupBy(F.struct("s1", "s2").alias("id")).agg(F.sum("links").alias("links"))
-
+    named = members.withColumn("_g", F.struct("g1", "g2"))
+    sizes = named.groupBy("_g").agg(F.count("*").alias("_n")).where("_n > 1")
+    rows = in_blocks(named, "_g", sizes, block).select("g1", "g2", "lo", "hi", "own", "s1", "s2", "shingles")
+    sorted_ = rows.repartition("g1", "g2", "lo", "hi").sortWithinPartitions("g1", "g2", "lo", "hi")
+    return sorted_.mapInArrow(_compare(threshold), "s1 bigint, s2 bigint, r1 bigint, r2 bigint, links bigint")
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, trees: int = 16, depth: int = 6, recall: float = 0.9995, small: int = 8) -> DataFrame:
-    """One row per document: doc_id, class_id (least doc_id of its component), class_size, n_links, kept.
 
-    kept is true for the rows of the class's first doc_id.
+def link_counts(members: DataFrame, threshold: float, block: int = 256) -> DataFrame:
+    """(id, links) of sets (id, component, shingles; structs of s1, s2): the others of the component that reach the threshold."""
+    flat = members.select(*[F.col(f"id.{c}").alias(c) for c in ("s1", "s2")], F.col("component.s1").alias("g1"), F.col("component.s2").alias("g2"), "shingles")
+    return compared_links(flat, threshold, block).groupBy(F.struct("s1", "s2").alias("id")).agg(F.sum("links").alias("links"))
+
+
+def forest_groups(distinct: DataFrame, threshold: float, trees: int, depth: int, floor: int, recall: float, small: int = 8, block: int = 2048) -> DataFrame:
+    """(id, component) of the sets (s1, s2, b1, b2, keys) that meet in the forest and whose bits agree."""
+    share = (1 - threshold) / 2
+    most = int(BITS * share + 4 * (BITS * share * (1 - share)) ** 0.5)
+    levels = depth - floor + 1
+    links: list[DataFrame] = []
+    for k in range(depth, floor - 1, -1):
+        paths = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.element_at("keys", t * levels + F.lit(k - floor + 1)))  # noqa: B023
+        rows = distinct.select(F.explode(paths).alias("bucket"), "s1", "s2", "b1", "b2")
+        sizes = rows.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1")
+        dealt = in_blocks(rows, "bucket", sizes, block).select("bucket", "lo", "hi", "own", "s1", "s2", "b1", "b2")
+        dealt = dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+        found = materialize(dealt.mapInArrow(_walk(most, small), "a1 bigint, a2 bigint, b1 bigint, b2 bigint, differ bigint, pairs bigint"), "forest")
+        links.append(found)
+        # a pair is counted in each trie in which it meets, trees * j ** k of them on average
+        similar = {d: max(0.0, 1 - 2 * d / BITS) for d in range(BITS + 1)}
+        chance = {d: 1 - (1 - j**k) ** trees for d, j in similar.items()}
+        meets = {d: trees * j**k for d, j in similar.items()}
+        at = {r["differ"]: r["n"] for r in found.where("differ is not null").groupBy("differ").agg(F.sum("pairs").alias("n")).collect()}
+        near = {d: n / meets[d] for d, n in at.items() if d <= BITS * share and meets[d] > 0}
+        if sum(n * chance[d] for d, n in near.items()) >= recall * sum(near.values()):
+            break
+    every = links[0]
+    for more in links[1:]:
+        every = every.unionByName(more)
+    edges = every.where("a1 is not null").select(F.struct(F.col("a1").alias("s1"), F.col("a2").alias("s2")).alias("u"), F.struct(F.col("b1").alias("s1"), F.col("b2").alias("s2")).alias("v"))
+    groups = connected_components(edges)
+    discard(*links)
+    return groups
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, trees: int = 16, depth: int = 8, recall: float = 0.998, small: int = 8, block: int = 256) -> DataFrame:
+    """One row per document: doc_id, class_id (least doc_id of its component), class_size, n_links, kept, text_hash.
+
+    kept is true for the rows of the class's first doc_id; text_hash (xxhash64 of the text) tells
+    the rows of one doc_id apart.
     """
-    depths = sorted({depth, prefix_depth(threshold, trees, depth, recall)}, reverse=True)
+    floor = prefix_depth(threshold, trees, depth, recall)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    lists = ", ".join(f"keys{d} array<bigint>" for d in depths)
-    sets = materialize(rows.mapInArrow(_sets(shingle, trees, depths), f"doc_id bigint, s1 bigint, s2 bigint, n bigint, b1 bigint, b2 bigint, {lists}"), "sets")
-    sets = sets.withColumn("id", F.when(F.col("n") > 0, F.struct("s1", "s2")))
-    distinct = materialize(sets.where("n > 0").groupBy("id", "n", "b1", "b2", *[f"keys{d}" for d in depths]).agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "distinct_sets")
-    levels = [distinct.select(F.explode(f"keys{d}").alias("bucket"), "id", "n", "b1", "b2") for d in depths]
-    bits = min(128, trees * depth)
-    expected = bits * (1 - threshold) / 2
-    most = int(expected + 6 * (bits * (1 - threshold) / 2 * (1 + threshold) / 2) ** 0.5)
-
-    def close(x: str, y: str) -> Column:
-        a, b = F.col(f"{x}.n"), F.col(f"{y}.n")
-        differ = F.bit_count(F.col(f"{x}.b1").bitwiseXOR(F.col(f"{y}.b1"))) + F.bit_count(F.col(f"{x}.b2").bitwiseXOR(F.col(f"{y}.b2")))
-        return (F.least(a, b) >= threshold * F.greatest(a, b) - 1e-9) & (differ <= most)
-
-    shingles: DataFrame | None = None
-
-    def prepare(ids: DataFrame) -> Callable[[DataFrame, DataFrame], DataFrame]:
-        """Writes the shingles of the sets that share a bucket, so that whole texts are read and moved once."""
-        nonlocal shingles
-        docs_of = distinct.join(ids, "id", "left_semi").select(F.col("first").alias("doc_id"))
-        texts = rows.join(docs_of, rows.doc_id.eqNullSafe(docs_of.doc_id), "left_semi")
-        found = texts.mapInArrow(_shingles(shingle), "s1 bigint, s2 bigint, shingles binary").select(F.struct("s1", "s2").alias("id"), "shingles")
-        found = shingles = materialize(found.join(ids, "id", "left_semi").dropDuplicates(["id"]), "shingles")
-
-        def verify(pairs: DataFrame, named: DataFrame) -> DataFrame:
-            own = found.join(named, "id", "left_semi")
-            both = pairs.join(own.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(own.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-            return both.mapInArrow(_verify(threshold), pairs.schema)
-
-        return verify
-
-    _, components = link_buckets(levels, close, prepare, small=small)
-    degree = link_counts(shingles.join(components, "id"), threshold)
-    grouped = distinct.join(components, "id", "left").withColumn("component", F.coalesce("component", "id")).join(degree, "id", "left")
-    classes = grouped.groupBy("component").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"))
-    by_set = materialize(grouped.join(classes, "component").select("id", "class_id", "class_size", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
-    discard(distinct)
-    result = sets.select("doc_id", "id").join(by_set, "id", "left")
-    class_id = F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
-    return result.select("doc_id", class_id.alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("doc_id").eqNullSafe(class_id).alias("kept"))
+    hashed = rows.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    schema = "doc_id bigint, text_hash bigint, s1 bigint, s2 bigint, n bigint, b1 bigint, b2 bigint, keys array<bigint>"
+    sets = materialize(hashed.mapInArrow(_sets(shingle, trees, depth, floor), schema), "sets")
+    per_set = sets.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("b1", "b2", "keys")])
+    distinct = materialize(per_set, "distinct_sets")
+    groups = forest_groups(distinct, threshold, trees, depth, floor, recall, small)
+    grouped = distinct.select(F.struct("s1", "s2").alias("id"), "first").join(groups, "id").select("id", "first", "component")
+    # whole texts are read and moved once more, those of grouped sets only
+    wanted = grouped.select(F.col("first").alias("doc_id")).distinct()
+    texts = rows.join(wanted, rows.doc_id.eqNullSafe(wanted.doc_id), "left_semi")
+    found = texts.mapInArrow(_shingles(shingle), "s1 bigint, s2 bigint, shingles binary").withColumn("id", F.struct("s1", "s2"))
+    members = found.join(grouped, "id").dropDuplicates(["id"]).select("s1", "s2", F.col("component.s1").alias("g1"), F.col("component.s2").alias("g2"), "shingles")
+    members = materialize(members, "members")
+    compared = materialize(compared_links(members, threshold, block), "links")
+    edges = compared.select(F.struct("s1", "s2").alias("u"), F.struct(F.col("r1").alias("s1"), F.col("r2").alias("s2")).alias("v"))
+    components = connected_components(edges)
+    degree = compared.groupBy("s1", "s2").agg(F.sum("links").alias("links"))
+    own = components.select(F.col("id.s1").alias("s1"), F.col("id.s2").alias("s2"), "component")
+    slim = distinct.select("s1", "s2", "first", "copies")
+    classed = slim.join(own, ["s1", "s2"], "left").join(degree, ["s1", "s2"], "left").withColumn("component", F.coalesce("component", F.struct("s1", "s2")))
+    classes = classed.groupBy("component").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"))
+    by_set = classed.join(classes, "component").select("s1", "s2", "class_id", "class_size", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    by_set = materialize(by_set, "classes")
+    discard(distinct, members, compared)
+    # rows without words have a null set: they take no part in the join
+    worded = sets.where("n > 0").select("doc_id", "text_hash", "s1", "s2").join(by_set, ["s1", "s2"])
+    worded = worded.select("doc_id", "class_id", "class_size", "n_links", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "text_hash")
+    one, none = F.lit(1).cast("bigint").alias("class_size"), F.lit(0).cast("bigint").alias("n_links")
+    return worded.unionByName(sets.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), one, none, F.lit(True).alias("kept"), "text_hash"))
