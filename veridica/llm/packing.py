@@ -1,8 +1,9 @@
 """Harmonic packing of token sequences.
 
 A document's ids are cut into full sequences of the capacity and a rest; the rest is cut into
-power-of-two lengths, so that each piece lies at the top of a reciprocal-capacity class: class k
-takes lengths in (capacity / (k + 1), capacity / k], k a power of two. A bin of class k holds
+power-of-two lengths (up to ten pieces a document, one for each bit of the rest), so that each piece
+is the longest of a reciprocal-capacity class: class k takes lengths in (capacity / (k + 1),
+capacity / k], k a power of two, and its bins have no padding. A bin of class k holds
 exactly k pieces. Each worker fills its own bins; what is left of a class in the end (fewer than
 k pieces) is put together, again in descending lengths, so that only the worker's last bin may
 need padding. There is no shuffle and no state beyond fewer than `capacity` open pieces a worker.
@@ -31,9 +32,10 @@ PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_toke
 
 @functools.cache
 def rank_encoder(path: str, pattern: str):
-    """The byte-level BPE of a rank file; same ids as the tokenizers file of that vocabulary, at three times its speed.
+    """The byte-level BPE of a rank file: the ids of the tokenizers file beside it (same name, .json), at three times its speed.
 
-    The added tokens are those of the JSON file beside it; a text that holds one is split there.
+    Texts are split at that file's added tokens. What the rank library cannot encode (its pattern
+    search gives up on runs of some 100,000 blanks) goes to the tokenizers file itself.
     """
     import tiktoken
 
@@ -46,7 +48,16 @@ def rank_encoder(path: str, pattern: str):
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
-    return lambda text: encoding.encode(text, allowed_special="all")
+
+    def encode(text: str) -> list[int]:
+        try:
+            return encoding.encode(text, allowed_special="all")
+        except BaseException as error:
+            if type(error).__name__ != "PanicException" or not os.path.exists(beside):
+                raise
+            return json_encoder(beside)(text)
+
+    return encode
 
 
 @functools.cache
