@@ -6,8 +6,11 @@ links are one resource: connected components carry block decisions to the aliase
 fits. Explicit allow has precedence: a page that a rule allows stays allowed, and a component with
 an explicitly allowed page blocks none of its unruled pages.
 
-Defined results: a null url, or one without `://`, has empty host and path, fits no rule and is
-its own component unless links name it; of equally long rules allow wins; repeated rows each get
+Links may be relative: they are resolved against the page's url, dot segments included. A base
+element is not looked at.
+
+Defined results: a null url, or one without `://`, has empty host and path, fits no rule and has
+no links, as it names no resource; of equally long rules allow wins; repeated rows each get
 their row; pages' other columns are ignored.
 """
 
@@ -45,14 +48,31 @@ def resource(url: Column) -> Column:
     return F.when(rest != "", F.concat(F.lower(host), F.substring(rest, F.length(host) + 1, F.length(rest))))
 
 
+def resolved(base: Column, target: Column) -> Column:
+    """target as an absolute url: with its own scheme, or relative to the host, the root, the folder or the page of base."""
+    scheme = F.regexp_extract(base, r"^([^:/?#]*://)", 1)
+    rest = F.regexp_extract(base, r"(?s)^[^:/?#]*://([^?#]*)", 1)
+    host = F.regexp_extract(rest, r"^[^/]*", 0)
+    page = F.substring(rest, F.length(host) + 1, F.length(rest))
+    folder = F.concat(F.regexp_extract(page, r"^(.*/)", 1), F.when(page.contains("/"), F.lit("")).otherwise(F.lit("/")))
+    asked = F.regexp_extract(target, r"(?s)^([^?#]*)", 1)
+    query = F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    path = F.when(asked == "", page).when(asked.startswith("/"), asked).otherwise(F.concat(folder, asked))
+    parts = F.split(path, "/")
+    walked = F.aggregate(parts, F.array().cast("array<string>"), lambda kept, part: F.when(part == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1)))).when(part == ".", kept).otherwise(F.concat(kept, F.array(part))))
+    slash = F.when(F.element_at(parts, -1).isin(".", ".."), F.lit("/")).otherwise(F.lit(""))
+    inside = F.concat(scheme, host, F.array_join(walked, "/"), slash, query)
+    return F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target).when(target.startswith("//"), F.concat(F.regexp_replace(scheme, "//$", ""), target)).when(~target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), inside)
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """(u, v): resources joined by a canonical link or a refresh redirect in the html (absolute urls)."""
+    """(u, v): resources joined by a canonical link or a refresh redirect in the html."""
     tags = F.regexp_extract_all("html", F.lit(r"(?i)<(?:link|meta)\b[^>]*>"), F.lit(0))
-    linked = pages.where(F.col("html").ilike("%canonical%") | F.col("html").ilike("%http-equiv%")).select("url", F.explode(tags).alias("tag"))
+    linked = pages.where(F.col("html").ilike("%canonical%") | F.col("html").ilike("%http-equiv%")).where(F.instr("url", "://") > 0).select("url", F.explode(tags).alias("tag"))
     canonical = F.when(F.col("tag").rlike(r"(?i)rel\s*=\s*[\"']?canonical"), F.regexp_extract("tag", r"(?i)href\s*=\s*[\"']?([^\"'\s>]+)", 1))
     refresh = F.when(F.col("tag").rlike(r"(?i)http-equiv\s*=\s*[\"']?refresh"), F.regexp_extract("tag", r"(?i)url\s*=\s*[\"']?([^\"'\s>]+)", 1))
-    target = F.coalesce(canonical, refresh)
-    return linked.select(resource(F.col("url")).alias("u"), resource(target).alias("v")).where("u is not null and v is not null")
+    named = linked.withColumn("target", F.nullif(F.coalesce(canonical, refresh), F.lit(""))).where("target is not null")
+    return named.select(resource(F.col("url")).alias("u"), resource(resolved(F.col("url"), F.col("target"))).alias("v")).where("u is not null and v is not null")
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, redirects: DataFrame | None = None) -> DataFrame:
@@ -66,10 +86,13 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, red
         links = links.unionByName(redirects.select(resource(F.col("source")).alias("u"), resource(F.col("target")).alias("v")))
     components = connected_components(links)
     judged = judge(split_url(pages.select("page_id", "url")), rules).withColumn("id", resource(F.col("url")))
-    member = judged.join(components, "id", "left")
-    decided = member.where("component is not null").groupBy("component").agg(F.bool_or(F.col("rule_verdict") == "block").alias("blocked"), F.bool_or(F.col("rule_verdict") == "allow").alias("allowed"))
+    named = judged.where("id is not null")
+    decided = named.join(components, "id").groupBy("component").agg(F.bool_or(F.col("rule_verdict") == "block").alias("blocked"), F.bool_or(F.col("rule_verdict") == "allow").alias("allowed"))
     inherited = F.when(F.col("blocked") & ~F.coalesce("allowed", F.lit(False)), "block").otherwise("allow")
-    return member.join(decided, "component", "left").select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", inherited).alias("verdict"), F.coalesce("component", "id").alias("alias_of"))
+    by_id = components.join(decided, "component").select("id", "component", inherited.alias("inherited"))
+    # pages without a resource, or a component, meet in no join key
+    linked = named.join(by_id, "id", "left").unionByName(judged.where("id is null"), allowMissingColumns=True)
+    return linked.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", "inherited", F.lit("allow")).alias("verdict"), F.coalesce("component", "id").alias("alias_of"))
 
 
 ORACLE_SQL = r"""
