@@ -556,3 +556,89 @@ def test_pipeline_stages(spark, fixture_docs):
     for _, stage in corpus_pipeline.STAGES:
         empty_out = stage(spark, empty, SF)
         assert empty_out.count() == 0
+
+
+def test_packing_blank_runs(spark):
+    public = pytest.importorskip("public_tokenizers")
+    whole = packing.json_encoder(public.path("byte_bpe_50k.json"))
+    ranks = packing.rank_encoder(public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+    text = "a" + " " * 1_000_000 + "b"
+    assert list(ranks(text)) == list(whole(text))
+
+
+def test_warc_damage(spark):
+    pages = spark.createDataFrame([(i, f"http://a/{i}", "text %d " % i * 50) for i in range(6)], "page_id long, url string, html string").coalesce(1)
+    manifest = warc.write_archives(pages)
+    path = manifest.first().archive
+    raw = open(path, "rb").read()
+    starts = [p for p, _ in warc.read_range(path, 0, len(raw))]
+    assert len(starts) == 6 and [p for a in range(0, len(raw), 97) for p, _ in warc.read_range(path, a, a + 97)] == starts
+
+    def read(data, size=None):
+        with open(path + ".damaged", "wb") as out:
+            out.write(data)
+        return [p for a in range(0, len(data), 97) for p, _ in warc.read_range(path + ".damaged", a, a + 97, size)]
+
+    for damaged in (raw[:-50], raw[: starts[2]] + b"x" + raw[starts[2] + 1 :], raw[: starts[3] + 200] + b"\0\0\0\0" + raw[starts[3] + 204 :], b"x" + raw[1:], raw + b"rest"):
+        with pytest.raises(ValueError):
+            read(damaged)
+    with pytest.raises(ValueError):
+        read(raw[: starts[5]], len(raw))
+    assert read(raw, len(raw)) == starts
+
+
+def test_relative_links(spark):
+    link = '<link rel="canonical" href="%s">'
+    rows = [
+        (1, "http://b.com/de/1", ""),
+        (2, "http://b.com/x/y?q", link % "/de/1"),
+        (3, "http://b.com/x/y/z", link % "../.././de/1"),
+        (4, "https://b.com/de", link % "//b.com/de/1"),
+        (5, "http://b.com/de/", link % "#top"),
+        (6, "http://c.net/a", link % "http://b.com/de/1"),
+        (7, "http://c.net/b", '<meta http-equiv="refresh" content="0; url=a">'),
+        (8, "http://c.net/c", link % "mailto:x"),
+        (9, None, link % "/de/1"),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(pages).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "block", 7: "block", 8: "allow", 9: "allow"}
+
+
+def test_chat_order_and_ties(spark):
+    calls = spark.createDataFrame([(1, 5, 0, "c", "f", '{"n":12345678901234567890}', ["a"]), (1, 1, 0, "a", "f", '{"n":1.00}', []), (1, 3, 0, "b", "f", '{"n":1e0}', []), (1, 2, 0, "d", "f", '{"n":1}', ["c"])], "conv_id long, turn long, position int, call_id string, name string, arguments string, uses array<string>")
+    results = spark.createDataFrame([(1, 2, "a", "x"), (1, 2, "a", "x"), (1, 2, "a", "a"), (1, 6, None, "q"), (1, 6, None, "q")], "conv_id long, turn long, call_id string, content string")
+    schemas = spark.createDataFrame([("f", "n", "integer", True)], "tool string, parameter string, type string, required boolean")
+    messages = spark.createDataFrame([(1, t, "user", f"m{t}") for t in range(7)], "conv_id long, turn long, role string, text string")
+    rows = tool_calls.format_messages(messages, calls, results, schemas).orderBy("conv_id", "after", "level", "turn", "position").collect()
+    named = [r.call_id or r.kind for r in rows if r.kind == "call" or r.kind == "message"]
+    assert named.index("a") < named.index("b") < named.index("c") < named.index("d")
+    assert named[:2] == ["message", "message"] and named.index("c") == len(named) - 3  # d waits for c; m6 is last
+    assert sorted((r.status, json.loads(r.json)["content"]) for r in rows if r.kind == "result" and r.call_id) == [("linked", "a"), ("repeated", "x"), ("repeated", "x")]
+    problems = {r.call_id: r.problems for r in rows if r.kind == "call"}
+    assert problems == {"a": [], "b": ["wrong type of n"], "c": [], "d": []}
+
+
+def test_benchmark_in_parts(spark):
+    rows = corpus(50, seed=21)
+    items = [(i, " ".join(t.split()[3:40])) for i, t in rows[:20]] + [(30, "ab"), (31, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    whole, parts = ({(r.doc_id, r.text_hash): r for r in decontamination.decontaminate(docs(spark, rows), bench, max_test_bytes=m).collect()} for m in (1 << 20, 300))
+    assert whole == parts and sum(r.n_hit > 0 for r in whole.values()) > 20 and any(r.n_near for r in whole.values())
+
+
+@pytest.mark.parametrize("n", [6, 10, 15, 25, 40])
+def test_line_recall(spark, n):
+    """Lines with one word replaced, judged by edit similarity alone."""
+    rng = random.Random(n)
+    vocab = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(4000)]
+    rows = []
+    while len(rows) < 200:
+        base = [rng.choice(vocab) for _ in range(n)]
+        near = list(base)
+        near[rng.randrange(n)] = rng.choice(vocab)
+        x, y = " ".join(base), " ".join(near)
+        if x != y and levenshtein(x, y) <= 0.2 * max(len(x), len(y)):
+            rows += [(len(rows), x), (len(rows) + 1, y)]
+    gone = {r.doc_id for r in line_dedup.dedup_lines(docs(spark, rows), bands=line_dedup.BANDS).where("text is null").collect()}
+    assert all(i % 2 for i in gone) and len(gone) >= 95
