@@ -6,13 +6,15 @@ the same place. All strings around one trigger form a phrase: their union, cut b
 at both ends. The parse lists each document's phrases; the dictionary holds each distinct phrase
 once with its number of occurrences.
 
-Corpus order is needed among strings of one trigger only. A phrase that occurs twice repeats all
-its strings. Phrases that occur once but share a trigger with others are compared in the
-dictionary: the 64-bit hashes of the strings inside them are sorted across the trigger's phrases,
-and equal neighbours are repeats. This takes the place of suffix arrays of the dictionary and parse:
-repeats need equal strings, not the order of different ones. Unique regions of the corpus drop out at the trigger count, so the work
-follows the repetitive part. Triggers with more than `wide` distinct phrases are compared by a
-distributed group-by of string fingerprints rather than in one task; results are the same.
+A string of `size` bytes lies inside one phrase, so the corpus order of strings is needed among the
+phrases of one trigger only, and of the parse no more than how often it has each phrase. A phrase
+that occurs twice repeats all its strings. Phrases that occur once but share a trigger with others
+are compared in the dictionary: the suffix array of their bytes, by prefix doubling, ranks every
+suffix by its first `size` bytes; strings of equal rank at equal distance from one trigger are
+equal, byte by byte, and so repeats. Unique regions of the corpus drop out at the trigger count,
+so the work follows the repetitive part. Phrases are told apart by 64-bit BLAKE2b digests within
+a trigger. Triggers with more than `wide` distinct phrases are compared by a distributed group-by
+of two 64-bit hashes of each string rather than in one task; results are the same.
 
 Defined results: null is empty text; texts under `size` bytes lose nothing; a repeated row is a
 second occurrence of all its strings; a null doc_id is kept; extra columns are ignored.
@@ -162,16 +164,43 @@ def _contents(size: int):
     return run
 
 
-def _string_hashes(blob: np.ndarray, row_start: np.ndarray, before: np.ndarray, after: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(phrase row, bytes from the string's start to the trigger, hash) of every string in the phrases."""
+def suffix_ranks(data: np.ndarray, size: int) -> np.ndarray:
+    """The order of all suffixes of data by their first `size` bytes: equal ranks, equal bytes (a suffix that ends earlier is smaller).
+
+    Prefix doubling: the ranks of the first k bytes of i and of i + k give those of 2 k bytes, the
+    last step overlapping so that it ends at exactly `size`.
+    """
+    n = len(data)
+    if not n:
+        return np.zeros(0, dtype=np.int64)
+    width = min(7, size)
+    key = np.zeros(n, dtype=np.uint64)  # 7 bytes, each plus one, so that the end is smaller than any byte
+    for j in range(width):
+        key *= np.uint64(257)
+        key[: n - j] += data[j:].astype(np.uint64) + np.uint64(1)
+    ranks = np.unique(key, return_inverse=True)[1].astype(np.int64)
+    while width < size:
+        step = min(width, size - width)
+        after = np.zeros(n, dtype=np.int64)
+        after[: max(0, n - step)] = ranks[step:] + 1
+        ranks = np.unique(ranks * (n + 1) + after, return_inverse=True)[1].astype(np.int64)
+        width += step
+    return ranks
+
+
+def _strings(row_start: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(phrase row, bytes from the string's start to the trigger, start) of every string in the phrases."""
     count = before.astype(np.int64) + after + 1
     row = np.repeat(np.arange(len(count)), count)
     step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    start = row_start[row] + step
-    up, down = powers(len(blob)), powers(len(blob), pow(BASE, -1, 1 << 64))
+    return row, before[row].astype(np.int64) - step, row_start[row] + step
+
+
+def _string_hashes(blob: np.ndarray, start: np.ndarray, size: int, base: int) -> np.ndarray:
+    up, down = powers(len(blob), base), powers(len(blob), pow(base, -1, 1 << 64))
     sums = np.zeros(len(blob) + 1, dtype=np.uint64)
     np.cumsum(_BYTE_VALUE[blob] * up[:-1], out=sums[1:])
-    return row, before[row].astype(np.int64) - step, mix64((sums[start + size] - sums[start]) * down[start])
+    return mix64((sums[start + size] - sums[start]) * down[start])
 
 
 def _blob(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -195,16 +224,16 @@ def _runs(t1, t2, place, row, lead) -> pa.RecordBatch:
 
 
 def _compare(size: int):
-    """Sorts the strings of each trigger's phrases; the rows of a trigger follow each other."""
+    """Ranks the strings of each trigger's phrases; the rows of a trigger follow each other."""
 
     def emit(table: pa.Table) -> pa.RecordBatch:
         col = {c: np.asarray(table.column(c).combine_chunks()) for c in ("trigger", "n", "t1", "t2", "place", "before", "after")}
         blob, starts = _blob(table.column("bytes").combine_chunks())
-        row, lead, h = _string_hashes(blob, starts, col["before"], col["after"], size)
+        row, lead, start = _strings(starts, col["before"], col["after"])
         group = np.cumsum(np.concatenate([[0], col["trigger"][1:] != col["trigger"][:-1]]))[row]
-        key = mix64(h + group.astype(np.uint64) * np.uint64(BASE) ^ lead.astype(np.uint64))
-        order = np.argsort(key, kind="stable")
-        same = key[order][1:] == key[order][:-1]
+        rank = suffix_ranks(blob, size)[start]
+        order = np.lexsort((rank, lead, group))
+        same = (rank[order][1:] == rank[order][:-1]) & (lead[order][1:] == lead[order][:-1]) & (group[order][1:] == group[order][:-1])
         repeated = np.zeros(len(key), dtype=bool)
         repeated[order[1:][same]] = True
         repeated[order[:-1][same]] = True
@@ -237,9 +266,11 @@ def _fingerprints(size: int):
             for at in range(0, len(batch), 2000):
                 part = batch.slice(at, 2000)
                 col = {c: np.asarray(part.column(c)) for c in ("trigger", "n", "t1", "t2", "place", "before", "after")}
-                row, lead, h = _string_hashes(*_blob(part.column("bytes")), col["before"], col["after"], size)
-                cells = [col["trigger"][row], lead.astype(np.int32), h.view(np.int64), col["t1"][row], col["t2"][row], col["place"][row] - lead, col["n"][row]]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cells], names=["trigger", "lead", "h", "t1", "t2", "start", "n"])
+                blob, starts = _blob(part.column("bytes"))
+                row, lead, start = _strings(starts, col["before"], col["after"])
+                one, two = (_string_hashes(blob, start, size, base).view(np.int64) for base in (BASE, BASE ^ (1 << 40)))
+                cells = [col["trigger"][row], lead.astype(np.int32), one, two, col["t1"][row], col["t2"][row], col["place"][row] - lead, col["n"][row]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cells], names=["trigger", "lead", "h1", "h2", "t1", "t2", "start", "n"])
 
     return run
 
@@ -298,9 +329,9 @@ def remove_repeats(docs: DataFrame, size: int = 200, wide: int = 20_000, with_te
     dictionary = materialize(dictionary, "dictionary")
     narrow = dictionary.where("is_wide is null").repartition("trigger").sortWithinPartitions("trigger", "phrase")
     runs = narrow.mapInArrow(_compare(size), RUNS)
-    strings = dictionary.where("is_wide").mapInArrow(_fingerprints(size), "trigger bigint, lead int, h bigint, t1 bigint, t2 bigint, start bigint, n bigint")
-    twice = strings.groupBy("trigger", "lead", "h").agg(F.count("*").alias("k")).where("k > 1")
-    wide_runs = strings.where("n = 1").join(twice, ["trigger", "lead", "h"], "left_semi").select("t1", "t2", F.col("start").alias("first"), F.col("start").alias("last"))
+    strings = dictionary.where("is_wide").mapInArrow(_fingerprints(size), "trigger bigint, lead int, h1 bigint, h2 bigint, t1 bigint, t2 bigint, start bigint, n bigint")
+    twice = strings.groupBy("trigger", "lead", "h1", "h2").agg(F.count("*").alias("k")).where("k > 1")
+    wide_runs = strings.where("n = 1").join(twice, ["trigger", "lead", "h1", "h2"], "left_semi").select("t1", "t2", F.col("start").alias("first"), F.col("start").alias("last"))
     whole = parse.join(phrases.where("n > 1").select("trigger", "phrase"), ["trigger", "phrase"]).select("t1", "t2", (F.col("place") - F.col("before")).alias("first"), (F.col("place") + F.col("after")).alias("last"))
     every = whole.unionByName(runs).unionByName(wide_runs)
     per_text = materialize(every.groupBy("t1", "t2").agg(F.collect_set(F.struct("first", "last")).alias("runs")), "runs")
