@@ -234,7 +234,7 @@ def _compare(size: int):
         rank = suffix_ranks(blob, size)[start]
         order = np.lexsort((rank, lead, group))
         same = (rank[order][1:] == rank[order][:-1]) & (lead[order][1:] == lead[order][:-1]) & (group[order][1:] == group[order][:-1])
-        repeated = np.zeros(len(key), dtype=bool)
+        repeated = np.zeros(len(row), dtype=bool)
         repeated[order[1:][same]] = True
         repeated[order[:-1][same]] = True
         repeated &= col["n"][row] == 1  # the others are repeated as a whole
