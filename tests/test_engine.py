@@ -147,7 +147,7 @@ def test_evidence(spark):
 def test_geo_and_identity(spark):
     row = spark.range(1).select(geo.haversine(F.lit(51.5074), F.lit(-0.1278), F.lit(48.8566), F.lit(2.3522)).alias("d")).first()
     assert abs(row.d - 343) < 5
-    pairs = spark.createDataFrame([("john smith", "john smith"), ("smith john", "john smith"), ("alice", "zentech corp"), ("mohammed", "mohamed"), ("", "")], "a string, b string")
+    pairs = spark.createDataFrame([("ada brook", "ada brook"), ("brook ada", "ada brook"), ("ruth", "calder mills"), ("katharina", "katarina"), ("", "")], "a string, b string")
     got = [r.s for r in pairs.select(identity.similarity("a", "b").alias("s")).collect()]
     assert got[0] == 1 and got[1] >= 0.9 and got[2] < 0.5 and got[3] > 0.8 and got[4] == 0
 
@@ -176,8 +176,8 @@ def test_sources_and_text(spark, tmp_path):
     assert sorted(r.text for r in corpus.text_files(spark, str(tmp_path)).collect()) == ["a, b\nc, d", "k: v\nn: 1", "plain"]
     docs = spark.createDataFrame([(1, "Mail A@b.org and a@B.org, 10.0.0.1 not 999.1.1.1; " + "f" * 40)], "doc_id long, text string")
     assert sorted((r.kind, r.value) for r in text.selectors(docs, "doc_id", "text").collect()) == [("email", "a@b.org"), ("ipv4", "10.0.0.1"), ("sha1", "f" * 40)]
-    said = spark.createDataFrame([(1, "Dr. Jane Powell founded Globex Corporation. Globex Corporation partnered with Initech.")], "doc_id long, text string")
-    assert {(r.relation, r.target) for r in text.extract_graph(said, "doc_id", "text").collect()} == {("FOUNDED", "Globex Corporation"), ("PARTNER_OF", "Initech")}
+    said = spark.createDataFrame([(1, "Dr. Mara Lindqvist founded Quillon Corporation. Quillon Corporation partnered with Tessarin.")], "doc_id long, text string")
+    assert {(r.relation, r.target) for r in text.extract_graph(said, "doc_id", "text").collect()} == {("FOUNDED", "Quillon Corporation"), ("PARTNER_OF", "Tessarin")}
     media = spark.createDataFrame([(1, "Midjourney", None, None, ""), (2, None, "Canon", True, "")], "id int, software string, camera string, c2pa boolean, text string")
     assert by_id(text.media_flag(media), "level") == {1: "high", 2: "low"}
 

@@ -104,3 +104,16 @@ def diff(ents: DataFrame, rels: DataFrame, audit: DataFrame, since: str) -> Data
     changed = lambda df, kind: df.where((F.col("updated_on") >= day) & (F.col("created_on") < day)).select(F.lit(f"modified_{kind}").alias("change"), "id")
     gone = audit.where((F.col("action") == "delete") & F.col("target_table").isin("entities", "relationships") & (F.col("ts") >= day)).select(F.concat(F.lit("removed_"), "target_table").alias("change"), F.col("id").cast("string").alias("id"))
     return made(ents, "entities").unionByName(made(rels, "relationships")).unionByName(changed(ents, "entities")).unionByName(changed(rels, "relationships")).unionByName(gone)
+
+
+def by_name(ents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(wanted, id, type) of the entities whose name equals a wanted one without case: an equi join, all wanted at once."""
+    names = wanted.select("wanted", F.lower("wanted").alias("k"))
+    return ents.select("id", "type", F.lower("name").alias("k")).join(names, "k").select("wanted", "id", "type")
+
+
+def neighbors_of_name(rels: DataFrame, ents: DataFrame, pattern: str) -> DataFrame:
+    """(id, name, type) of the entities next to the first one (by id) whose name holds the pattern, without case."""
+    base = ents.where(F.col("name").ilike(f"%{pattern}%")).agg(F.min("id").alias("id"))
+    near = incident(rels).join(base, "id").select(F.col("other").alias("id")).distinct()
+    return ents.select("id", "name", "type").join(near, "id")

@@ -5,17 +5,33 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 
 
+def drop(*frames: DataFrame) -> None:
+    """Delete what settle() wrote, once nothing reads it any more."""
+    for df in frames:
+        context = df.sparkSession.sparkContext
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def new_path(spark: SparkSession) -> str:
+    """A new path under spark.checkpoint.dir (a temporary folder where unset, as in tests)."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = tempfile.mkdtemp(prefix="spark-")
+        root = _OWN[app]
+    return f"{root.rstrip('/')}/frame-{uuid.uuid4().hex}"
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """df written under spark.checkpoint.dir (a temporary folder where unset, as in tests) and read back: cuts the lineage."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or _OWN.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="spark-")
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        _OWN[spark.sparkContext.applicationId] = root
-    path = f"{root.rstrip('/')}/frame-{uuid.uuid4().hex}"
+    """df written to a new path and read back: cuts the lineage and survives lost executors."""
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

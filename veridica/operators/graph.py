@@ -1,8 +1,9 @@
 """Graph operators on an edge list (u, v, w), undirected unless said, each pair once.
 
-One-pass measures are joins and group-bys. Wedges run from the end of lower degree, so that a
-hub's neighbours never meet in one task. Iterative measures keep their state as DataFrames,
-written to the shared folder each round; only scalars reach the driver.
+One-pass measures are joins and group-bys. Triangles start at the end of lower degree, so that a
+hub's neighbours never meet in one task; measures of a node's pairs of neighbours (Adamic-Adar,
+Burt) pair all neighbours of a hub, which AQE's skew join splits. Iterative measures keep their
+state as DataFrames, written to the shared folder each round; only scalars reach the driver.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veridica.operators.frames import settle
+from veridica.operators.frames import drop, settle
 
 
 def both(edges: DataFrame) -> DataFrame:
@@ -66,17 +67,30 @@ def pagerank(edges: DataFrame, directed: bool = False, alpha: float = 0.85, tol:
     return rank.select("id", "score")
 
 
-def eigenvector(edges: DataFrame, shift: bool = True, tol: float = 1e-6, max_rounds: int = 500) -> DataFrame:
-    """Weighted power iteration; shift adds the identity, so that bipartite graphs converge too; stops on the L1 change."""
-    links = settle(both(edges))
-    rank = nodes(edges).withColumn("x", F.lit(1.0))
-    n = rank.count()
-    for _ in range(max_rounds if n else 0):
-        flow = links.join(rank.select(F.col("id").alias("u"), "x"), "u").groupBy(F.col("v").alias("id")).agg(F.sum(F.col("w") * F.col("x")).alias("got"))
-        new = settle(rank.join(flow, "id", "left").select("id", "x", (F.coalesce("got", F.lit(0.0)) + (F.col("x") if shift else 0.0)).alias("y")))
-        norm = new.agg(F.sqrt(F.sum(F.col("y") * F.col("y")))).first()[0] or 1.0
-        moved = new.agg(F.sum(F.abs(F.col("y") / norm - F.col("x")))).first()[0]
-        rank = new.select("id", (F.col("y") / norm).alias("x"))
+def eigenvector(edges: DataFrame, shift: bool = True, tol: float = 1e-6, max_rounds: int = 500, stride: int = 10) -> DataFrame:
+    """Weighted power iteration; shift adds the identity, so that bipartite graphs converge too.
+
+    The L1 change of a round is looked at every `stride` rounds, whose joins run as one plan.
+    """
+    ids = nodes(edges)
+    links = both(edges)
+    links = settle(links.unionByName(ids.select(F.col("id").alias("u"), F.col("id").alias("v"), F.lit(1.0 if shift else 0.0).alias("w"))))
+
+    def step(rank: DataFrame, rounds: int) -> DataFrame:
+        for _ in range(rounds):
+            rank = links.join(rank.withColumnRenamed("id", "u"), "u").groupBy(F.col("v").alias("id")).agg(F.sum(F.col("w") * F.col("x")).alias("x"))
+        rank = settle(rank)
+        norm = rank.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0] or 1.0
+        return rank.select("id", (F.col("x") / norm).alias("x"))
+
+    rank, done = settle(ids.withColumn("x", F.lit(1.0))), 0
+    while done < max_rounds and not rank.isEmpty():
+        before = step(rank, min(stride, max_rounds - done) - 1) if min(stride, max_rounds - done) > 1 else rank
+        after = step(before, 1)
+        done += min(stride, max_rounds - done)
+        moved = after.join(before.select("id", F.col("x").alias("old")), "id").agg(F.sum(F.abs(F.col("x") - F.col("old")))).first()[0]
+        drop(rank)
+        rank = after
         if moved < tol:
             break
     return rank.withColumnRenamed("x", "score")
@@ -98,41 +112,74 @@ def levels(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) ->
     return settle(seen)
 
 
-def betweenness(edges: DataFrame, pivots: int | None = None) -> DataFrame:
-    """Normalised shortest-path betweenness, exact, or estimated from `pivots` sources (by hash), scaled up."""
-    ids = nodes(edges)
-    n = ids.count()
-    seeds = ids.select(F.col("id").alias("seed"))
-    if pivots and pivots < n:
-        seeds = seeds.orderBy(F.xxhash64("seed"), "seed").limit(pivots)
+def _dependencies(links: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(id, delta): what the shortest paths from the seeds put on each node, level by level from the farthest."""
     reach = levels(edges, seeds)
     depth = reach.agg(F.coalesce(F.max("dist"), F.lit(0))).first()[0]
-    links = settle(both(edges).select("u", "v"))
     far = reach.select("seed", F.col("id").alias("v"), F.col("dist").alias("v_dist"), F.col("paths").alias("v_paths"))
     step = settle(reach.join(links.withColumnRenamed("u", "id"), "id").join(far, ["seed", "v"]).where("v_dist = dist + 1").select("seed", "id", "v", "dist", (F.col("paths") / F.col("v_paths")).alias("share")))
     delta = settle(reach.where(F.col("dist") == depth).select("seed", "id", F.lit(0.0).alias("delta")))
-    total = delta
+    total = [delta]
     for d in range(depth - 1, 0, -1):
         got = step.where(F.col("dist") == d).join(delta.select("seed", F.col("id").alias("v"), "delta"), ["seed", "v"]).groupBy("seed", "id").agg(F.sum(F.col("share") * (1 + F.col("delta"))).alias("delta"))
         delta = settle(reach.where(F.col("dist") == d).select("seed", "id").join(got, ["seed", "id"], "left").select("seed", "id", F.coalesce("delta", F.lit(0.0)).alias("delta")))
-        total = total.unionByName(delta)
-    scale = (1.0 if not pivots or pivots >= n else n / pivots) / ((n - 1) * (n - 2)) if n > 2 else 0.0
-    return ids.join(total.where("id <> seed").groupBy("id").agg(F.sum("delta").alias("b")), "id", "left").select("id", (F.coalesce("b", F.lit(0.0)) * scale).alias("score"))
+        total.append(delta)
+    every = total[0]
+    for more in total[1:]:
+        every = every.unionByName(more)
+    out = settle(every.where("id <> seed").groupBy("id").agg(F.sum("delta").alias("delta")))
+    drop(reach, step, *total)
+    return out
 
 
-def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """(id, component): least id reached, by minimum labels with pointer jumping."""
+def betweenness(edges: DataFrame, pivots: int | None = None, block: int = 4096) -> DataFrame:
+    """Normalised shortest-path betweenness, exact; with `pivots`, an estimate from so many sources (by hash), scaled up.
+
+    Sources are taken in blocks, whose sums are written, so that at most block x nodes rows exist at a time.
+    """
+    ids = settle(nodes(edges))
+    n = ids.count()
+    if n <= 2:
+        return ids.select("id", F.lit(0.0).alias("score"))
     links = settle(both(edges).select("u", "v"))
-    label = settle(nodes(edges).withColumn("component", F.col("id")))
-    for _ in range(max_rounds):
-        near = links.join(label.withColumnRenamed("id", "v"), "v").groupBy(F.col("u").alias("id")).agg(F.min("component").alias("near"))
-        least = label.join(near, "id").select("id", "component", F.least("component", "near").alias("new"))
-        least = settle(least)
-        jump = least.select(F.col("id").alias("new"), F.col("new").alias("far"))
-        new = settle(least.join(jump, "new").select("id", "component", F.least("new", "far").alias("next")))
-        if not new.where("next <> component").take(1):
-            break
-        label = new.select("id", F.col("next").alias("component"))
+    seeds = ids.select(F.col("id").alias("seed"))
+    if pivots and pivots < n:
+        seeds = settle(seeds.orderBy(F.xxhash64("seed"), "seed").limit(pivots))
+    parts = -(-min(n, pivots or n) // block)
+    sums = None
+    for part in range(parts):
+        got = _dependencies(links, edges, seeds.where(F.pmod(F.xxhash64("seed"), F.lit(parts)) == part))
+        sums = got if sums is None else sums.unionByName(got)
+    scale = (1.0 if not pivots or pivots >= n else n / pivots) / ((n - 1) * (n - 2))
+    return settle(ids.join(sums.groupBy("id").agg(F.sum("delta").alias("b")), "id", "left").select("id", (F.coalesce("b", F.lit(0.0)) * scale).alias("score")))
+
+
+def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+    """(id, component): least id reached.
+
+    Each round contracts every node into the least of itself and its neighbours and goes on with the
+    edges that are left; the contractions are composed in the end. A hub or a giant component is
+    never one key of a join of raw edges for long, as its edges collapse in the first round.
+    """
+
+    def least(pairs: DataFrame) -> DataFrame:
+        ends = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        return ends.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("m")).select("id", F.least("id", "m").alias("to"))
+
+    now = settle(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct())
+    rounds = []
+    while not now.isEmpty():
+        if len(rounds) == max_rounds:
+            raise RuntimeError("components did not settle")
+        rounds.append(now)
+        step = least(now)
+        moved = now.join(step.select(F.col("id").alias("u"), F.col("to").alias("a")), "u").join(step.select(F.col("id").alias("v"), F.col("to").alias("b")), "v")
+        now = settle(moved.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+    label = nodes(edges).withColumn("component", F.col("id"))
+    for own in rounds:
+        label = label.join(least(own).withColumnRenamed("id", "component"), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+    label = settle(label)
+    drop(now, *rounds)
     return label
 
 
@@ -261,31 +308,63 @@ def resilience(edges: DataFrame, limit: int) -> DataFrame:
     return after.select(F.col("scenario").alias("id"), F.col("components").alias("components_after"), F.col("largest").alias("largest_after"), F.round(1 - F.col("largest") / (n - 1), 6).alias("fragmentation"), F.round((F.lit(base) - F.col("largest")) / F.lit(base), 6).alias("reachability_drop"))
 
 
-def articulation(edges: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Which of the candidate nodes cut the graph."""
-    before = components(edges).select("component").distinct().count()
-    return without_each(edges, candidates).where(F.col("components") > before).select(F.col("scenario").alias("id"))
-
+def tree_blocks(edges: DataFrame) -> DataFrame:
+    """(child, up, block): the edges of a breadth-first forest, each with its biconnected component.
 
-def bridges(edges: DataFrame) -> DataFrame:
-    """Cut edges (u, v): each edge off a breadth-first forest puts its hash on both ends; a tree edge
-    whose subtree's hashes cancel is a bridge (wrong with probability 2^-64 an edge)."""
-    roots = components(edges).select(F.col("component").alias("seed")).distinct()
-    dist = levels(edges, roots).select("id", "dist")
-    pair = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    An edge off the forest closes a cycle with the two tree paths to where they meet; the tree edges
+    of a cycle belong together. Both ends climb one level at a time, equal pairs of ends going on as
+    one; blocks are connected components of tree edges, named by their lower ends.
+    """
+    pair = settle(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct())
+    roots = components(pair).select(F.col("component").alias("seed")).distinct()
+    dist = settle(levels(pair.withColumn("w", F.lit(1.0)), roots).select("id", "dist"))
     ends = pair.join(dist.select(F.col("id").alias("u"), F.col("dist").alias("du")), "u").join(dist.select(F.col("id").alias("v"), F.col("dist").alias("dv")), "v")
-    down = ends.where("du <> dv").select("u", "v", F.when(F.col("du") < F.col("dv"), F.col("u")).otherwise(F.col("v")).alias("up"), F.when(F.col("du") < F.col("dv"), F.col("v")).otherwise(F.col("u")).alias("child"))
-    parent = settle(down.groupBy("child").agg(F.min("up").alias("up")))
+    down = ends.where("du <> dv").select(F.when(F.col("du") < F.col("dv"), F.col("u")).otherwise(F.col("v")).alias("up"), F.when(F.col("du") < F.col("dv"), F.col("v")).otherwise(F.col("u")).alias("child"))
+    parent = settle(down.groupBy("child").agg(F.min("up").alias("up")).join(dist.withColumnRenamed("id", "child"), "child"))
     tree = parent.select(F.least("child", "up").alias("u"), F.greatest("child", "up").alias("v"))
-    off = pair.join(tree, ["u", "v"], "left_anti").withColumn("h", F.xxhash64("u", "v"))
-    marks = off.select(F.explode(F.array("u", "v")).alias("id"), "h").groupBy("id").agg(F.bit_xor("h").alias("h"))
-    label = settle(dist.join(marks, "id", "left").select("id", "dist", F.coalesce("h", F.lit(0).cast("bigint")).alias("h")))
-    depth = dist.agg(F.coalesce(F.max("dist"), F.lit(0))).first()[0]
-    for d in range(depth, 1, -1):
-        pushed = label.where(F.col("dist") == d).join(parent.withColumnRenamed("child", "id"), "id").groupBy(F.col("up").alias("id")).agg(F.bit_xor("h").alias("g"))
-        label = settle(label.join(pushed, "id", "left").select("id", "dist", F.col("h").bitwiseXOR(F.coalesce("g", F.lit(0).cast("bigint"))).alias("h")))
-    cut = label.where("dist > 0 and h = 0").join(parent.withColumnRenamed("child", "id"), "id")
-    return cut.select(F.least("id", "up").alias("u"), F.greatest("id", "up").alias("v"))
+    x_up = parent.select(F.col("child").alias("x"), F.col("up").alias("x_up"), F.col("dist").alias("x_dist"))
+    y_up = parent.select(F.col("child").alias("y"), F.col("up").alias("y_up"), F.col("dist").alias("y_dist"))
+    climb = settle(pair.join(tree, ["u", "v"], "left_anti").select(F.col("u").alias("x"), F.col("v").alias("y")))
+    same: list[DataFrame] = []
+    while not climb.isEmpty():
+        # the deeper end climbs, or both if they are level; a root has no parent and no edge of its own
+        at = climb.join(x_up, "x", "left").join(y_up, "y", "left").withColumn("xd", F.coalesce("x_dist", F.lit(0))).withColumn("yd", F.coalesce("y_dist", F.lit(0)))
+        nx = F.when(F.col("xd") >= F.col("yd"), F.col("x_up")).otherwise(F.col("x"))
+        ny = F.when(F.col("yd") >= F.col("xd"), F.col("y_up")).otherwise(F.col("y"))
+        at = settle(at.select("x", "y", "xd", "yd", nx.alias("nx"), ny.alias("ny")))
+        met = F.col("nx") == F.col("ny")
+        joined = F.array_compact(F.array(
+            F.when((F.col("xd") >= F.col("yd")) & ~met, F.struct(F.col("x").alias("u"), F.col("nx").alias("v"))),
+            F.when((F.col("yd") >= F.col("xd")) & ~met, F.struct(F.col("y").alias("u"), F.col("ny").alias("v"))),
+            F.when(met & (F.col("xd") == F.col("yd")), F.struct(F.col("x").alias("u"), F.col("y").alias("v"))),
+        ))
+        same.append(settle(at.select(F.explode(joined).alias("e")).select("e.u", "e.v").distinct()))
+        left = at.where(~met).select(F.least("nx", "ny").alias("x"), F.greatest("nx", "ny").alias("y")).distinct()
+        drop(climb)
+        climb = settle(left)
+        drop(at)
+    block = parent.select("child", "up", F.col("child").alias("block"))
+    if same:
+        pairs = same[0]
+        for more in same[1:]:
+            pairs = pairs.unionByName(more)
+        label = components(pairs)
+        block = parent.join(label.withColumnRenamed("id", "child"), "child", "left").select("child", "up", F.coalesce("component", "child").alias("block"))
+    return settle(block)
+
+
+def articulation(edges: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+    """(id): every node (of the candidates) whose removal cuts its component: one in more than one biconnected component."""
+    block = tree_blocks(edges)
+    cut = block.select(F.explode(F.array("child", "up")).alias("id"), "block").distinct().groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+    return cut if candidates is None else cut.join(candidates.select("id"), "id", "left_semi")
+
+
+def bridges(edges: DataFrame) -> DataFrame:
+    """(u, v): every edge that is a biconnected component of its own."""
+    block = tree_blocks(edges)
+    alone = block.groupBy("block").agg(F.count("*").alias("n"), F.min("child").alias("child"), F.min("up").alias("up")).where("n = 1")
+    return alone.select(F.least("child", "up").alias("u"), F.greatest("child", "up").alias("v"))
 
 
 def cliques(edges: DataFrame, max_size: int | None = None) -> DataFrame:
@@ -395,14 +474,67 @@ def shortest_paths(edges: DataFrame, source: str, target: str, k: int, max_lengt
     return out.select((F.size("path") - 1).alias("hops"), F.array_join("path", ">").alias("path")).orderBy("hops", "path").limit(k)
 
 
+def assemble(paths: DataFrame, edges: DataFrame, kind: str) -> DataFrame:
+    """Paths (path_id, path: array of ids) with their edges' weights: length, score by kind, bottleneck.
+
+    score: hops (`shortest`), the weakest edge (`widest`) or the product of the edges (`likely`); a
+    path of one node has bottleneck and product 1.
+    """
+    step = paths.select("path_id", F.posexplode(F.arrays_zip(F.slice("path", 1, F.size("path") - 1).alias("a"), F.slice("path", 2, F.size("path")).alias("b"))).alias("no", "e"))
+    pair = step.select("path_id", F.least("e.a", "e.b").alias("u"), F.greatest("e.a", "e.b").alias("v"))
+    weighed = pair.join(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "w"), ["u", "v"]).groupBy("path_id").agg(F.min("w").alias("bottleneck"), F.product("w").alias("product"))
+    joined = paths.join(weighed, "path_id", "left").withColumn("length", F.size("path") - 1)
+    one = lambda c: F.coalesce(c, F.lit(1.0))
+    score = {"shortest": F.col("length").cast("double"), "widest": one("bottleneck"), "likely": one("product")}[kind]
+    return joined.select("path_id", F.array_join("path", ">").alias("path"), "length", F.round(score, 6).alias("score"), F.round(one("bottleneck"), 6).alias("bottleneck"))
+
+
+def ego_influence(edges: DataFrame, egos: DataFrame, alpha: float = 0.85, tol: float = 1e-9, max_rounds: int = 200) -> DataFrame:
+    """(seed, nodes, degree_centrality, pagerank) of each ego (seed) within its two-hop graph, all egos in one run.
+
+    The two-hop graph has the edges with an end at the ego or one hop from it. PageRank is directed
+    and weighted, dangling mass spread over the ego's graph, until the largest change of an ego's graph is
+    below tol.
+    """
+    near = ego(edges, egos, 1).select("seed", F.col("id").alias("x"))
+    touched = near.join(edges.select(F.col("u").alias("x"), "u", "v", "w"), "x").unionByName(near.join(edges.select(F.col("v").alias("x"), "u", "v", "w"), "x"))
+    own = settle(touched.select("seed", "u", "v", F.greatest("w", F.lit(1e-9)).alias("w")).distinct())
+    out = own.groupBy("seed", "u").agg(F.sum("w").alias("t"))
+    share = settle(own.join(out, ["seed", "u"]).select("seed", "u", "v", (F.col("w") / F.col("t")).alias("p")))
+    ids = own.select("seed", F.explode(F.array("u", "v")).alias("id")).distinct()
+    n = ids.groupBy("seed").agg(F.count("*").alias("n"))
+    rank = settle(ids.join(n, "seed").join(out.select("seed", F.col("u").alias("id"), F.lit(False).alias("dangling")), ["seed", "id"], "left").select("seed", "id", "n", F.coalesce("dangling", F.lit(True)).alias("dangling"), (1 / F.col("n")).alias("x")))
+    for _ in range(max_rounds):
+        loose = rank.groupBy("seed").agg(F.sum(F.when(F.col("dangling"), F.col("x")).otherwise(0.0)).alias("loose"))
+        flow = share.join(rank.select("seed", F.col("id").alias("u"), "x"), ["seed", "u"]).groupBy("seed", F.col("v").alias("id")).agg(F.sum(F.col("p") * F.col("x")).alias("got"))
+        new = rank.join(loose, "seed").join(flow, ["seed", "id"], "left").select("seed", "id", "n", "dangling", "x", ((1 - alpha) / F.col("n") + alpha * F.col("loose") / F.col("n") + alpha * F.coalesce("got", F.lit(0.0))).alias("y"))
+        new = settle(new)
+        moved = new.groupBy("seed").agg(F.sum(F.abs(F.col("y") - F.col("x"))).alias("m")).agg(F.coalesce(F.max("m"), F.lit(0.0))).first()[0]
+        drop(rank)
+        rank = new.select("seed", "id", "n", "dangling", F.col("y").alias("x"))
+        if moved < tol:
+            break
+    degree = own.where("u = seed or v = seed").groupBy("seed").agg(F.count("*").alias("degree"))
+    mine = rank.where("id = seed").select("seed", "n", "x")
+    return mine.join(degree, "seed").select("seed", F.col("n").alias("nodes"), F.round(F.col("degree") / (F.col("n") - 1), 4).alias("degree_centrality"), F.round("x", 4).alias("pagerank"))
+
+
 def ego(edges: DataFrame, egos: DataFrame, depth: int) -> DataFrame:
     """(seed, id, dist) of the nodes within `depth` hops of each ego (seed)."""
     return levels(edges, egos, depth).select("seed", "id", "dist")
 
 
-def roles(edges: DataFrame, between: DataFrame) -> DataFrame:
-    """(id, role) by thresholds at the 80th percentile of degree and betweenness."""
-    base = clustering(edges).join(between.select("id", F.col("score").alias("btw")), "id")
+def _with_isolates(measured: DataFrame, between: DataFrame, everyone: DataFrame | None) -> DataFrame:
+    """measured (id, ...) and the betweenness of every node; nodes without edges have zeros."""
+    if everyone is not None:
+        measured = everyone.select("id").distinct().join(measured, "id", "left")
+    joined = measured.join(between.select("id", F.col("score").alias("btw")), "id", "left")
+    return joined.select("id", *[F.coalesce(c, F.lit(0)).alias(c) for c in joined.columns if c != "id"])
+
+
+def roles(edges: DataFrame, between: DataFrame, everyone: DataFrame | None = None) -> DataFrame:
+    """(id, role) by thresholds at the 80th percentile of degree and betweenness; everyone (id): nodes without edges too."""
+    base = _with_isolates(clustering(edges), between, everyone)
     cut = base.agg(F.percentile("degree", F.lit(0.8)).alias("d80"), F.greatest(F.percentile("btw", F.lit(0.8)), F.lit(1e-9)).alias("b80"))
     scored = base.crossJoin(F.broadcast(cut)).withColumn("hub", F.col("degree") >= F.col("d80")).withColumn("broker", F.col("btw") >= F.col("b80"))
     by_hub = both(edges).join(scored.where("hub").select(F.col("id").alias("v")), "v", "left_semi").select(F.col("u").alias("id")).distinct().withColumn("near_hub", F.lit(True))
@@ -410,12 +542,13 @@ def roles(edges: DataFrame, between: DataFrame) -> DataFrame:
     return scored.join(by_hub, "id", "left").withColumn("near_hub", F.coalesce("near_hub", F.lit(False))).select("id", role.alias("role"), "degree", F.round("btw", 9).alias("betweenness"))
 
 
-def anomalies(edges: DataFrame, between: DataFrame, z: float = 2.0) -> DataFrame:
-    """(id, kind, score): degree outliers and low-degree nodes of high betweenness; the strongest per node."""
-    base = both(edges).groupBy(F.col("u").alias("id")).agg(F.count("*").alias("d")).join(between.select("id", F.col("score").alias("b")), "id")
-    stat = base.agg(F.avg("d").alias("mu"), F.stddev_pop("d").alias("sd"), F.percentile("b", F.lit(0.95)).alias("b95"))
+def anomalies(edges: DataFrame, between: DataFrame, z: float = 2.0, everyone: DataFrame | None = None) -> DataFrame:
+    """(id, kind, score): degree outliers, nodes without edges (of more than two nodes), low-degree nodes of high betweenness; the strongest per node."""
+    base = _with_isolates(both(edges).groupBy(F.col("u").alias("id")).agg(F.count("*").alias("d")), between, everyone).withColumnRenamed("btw", "b")
+    stat = base.agg(F.avg("d").alias("mu"), F.stddev_pop("d").alias("sd"), F.percentile("b", F.lit(0.95)).alias("b95"), F.count("*").alias("n"))
     rows = base.crossJoin(F.broadcast(stat))
     hub = rows.where((F.col("sd") > 0) & ((F.col("d") - F.col("mu")) / F.col("sd") >= z)).select("id", F.lit("hub").alias("kind"), ((F.col("d") - F.col("mu")) / F.col("sd")).alias("score"), F.lit(0).alias("o"))
     bridge = rows.where((F.col("b95") > 0) & (F.col("b") >= F.col("b95")) & (F.col("d") <= F.greatest(F.lit(2.0), F.col("mu")))).select("id", F.lit("bridge").alias("kind"), F.col("b").alias("score"), F.lit(2).alias("o"))
+    alone = rows.where("d = 0 and n > 2").select("id", F.lit("isolate").alias("kind"), F.lit(1.0).alias("score"), F.lit(1).alias("o"))
     best = F.row_number().over(W.partitionBy("id").orderBy(F.desc("score"), "o"))
-    return hub.unionByName(bridge).withColumn("r", best).where("r = 1").select("id", "kind", F.round("score", 6).alias("score"))
+    return hub.unionByName(alone).unionByName(bridge).withColumn("r", best).where("r = 1").select("id", "kind", F.round("score", 6).alias("score"))

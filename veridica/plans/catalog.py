@@ -111,12 +111,6 @@ def agg_quantile(fx):
     return fx.gdeg.agg(F.percentile("d", F.lit(0.8)).alias("p80"), F.percentile("d", F.lit(0.95)).alias("p95"))
 
 
-@query("""
-SELECT id AS evidence_id, verification AS status FROM (SELECT target_id AS id, arg_max(action, id) AS verification FROM audit GROUP BY 1)""")
-def gov_verify_evidence(fx):
-    return governance.latest_decision(fx.audit.select(F.col("target_id").alias("evidence_id"), F.col("action").alias("status"), F.col("id").alias("at")))
-
-
 # entities
 
 
@@ -159,31 +153,11 @@ def flt_relationships(fx):
     return en.incident(fx.rels).where("id = 'S1' and type in ('OWNS', 'MANAGES')").select(F.col("rel_id").alias("id"), "type").distinct()
 
 
-@query("SELECT source, stance, created_on, count(*) AS n FROM evidence WHERE entity_id = 'P7' GROUP BY 1, 2, 3")
-def flt_evidence(fx):
-    return fx.evidence.where("entity_id = 'P7'").groupBy("source", "stance", "created_on").agg(F.count("*").alias("n"))
-
-
-@query("SELECT w.id AS entry, e.id FROM watch w JOIN ents e ON lower(substr(w.name, 1, 5)) = lower(substr(e.name, 1, 5)) AND e.type = 'asset'")
-def flt_name_lookup(fx):
-    key = lambda c: F.lower(F.substring(c, 1, 5))
-    return fx.watch.select(F.col("id").alias("entry"), key("name").alias("k")).join(fx.ents.where("type = 'asset'").select("id", key("name").alias("k")), "k").select("entry", "id")
-
-
 @query("SELECT least(source_id, target_id) AS u, greatest(source_id, target_id) AS v, max(confidence_score) AS w FROM rels WHERE type IN ('OWNS', 'ASSOCIATED_WITH') AND confidence_score >= 0.5 AND source_id IN (SELECT id FROM ents) AND target_id IN (SELECT id FROM ents) AND source_id <> target_id GROUP BY 1, 2")
 def flt_graph(fx):
     return graph.view(fx.rels, fx.ents, rel_types=["OWNS", "ASSOCIATED_WITH"], min_confidence=0.5)[1]
 
 
-@query("""
-WITH RECURSIVE seeds AS (SELECT id FROM gnodes WHERE CAST(substr(id, 2) AS BIGINT) % 20 = 0),
-walk(seed, id, d) AS (SELECT id, id, 0 FROM seeds UNION SELECT walk.seed, gboth.v, walk.d + 1 FROM walk JOIN gboth ON gboth.u = walk.id WHERE walk.d < 3)
-SELECT seed, id, min(d) AS dist FROM walk GROUP BY 1, 2""")
-def flt_ego(fx):
-    egos = fx.gnodes.where("cast(substr(id, 2) as bigint) % 20 = 0").select(F.col("id").alias("seed"))
-    return graph.ego(edges(fx), egos, 3)
-
-
 @query(f"SELECT r.id, rel_id, other, e.name AS other_name, e.type AS other_type, outgoing FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY rel_id, outgoing) AS rn FROM {INC}) r JOIN ents e ON e.id = other WHERE rn <= 20")
 def flt_neighbors(fx):
     return en.neighbors(fx.rels, fx.ents, 20)
@@ -212,11 +186,6 @@ def flt_tasks(fx):
     return fx.tasks.where("assignee = 3 and status = 'open'").select("task_id", "case_id", "due")
 
 
-@query("SELECT case_id, title FROM cases WHERE owner = 2 OR priority = 'high'")
-def flt_views(fx):
-    return fx.cases.where("owner = 2 or priority = 'high'").select("case_id", "title")
-
-
 @query("SELECT id, confidence_score AS score FROM ents WHERE type <> 'event' ORDER BY confidence_score DESC, id LIMIT 100")
 def prj_topk(fx):
     return en.top_k(fx.ents.where("type <> 'event'").select("id", F.col("confidence_score").alias("score")), "score", 100)
@@ -275,13 +244,6 @@ def geo_visits(fx):
     return geo.visits(fx.ents, fx.rels)
 
 
-@query(f"""
-WITH v AS (SELECT actor, place, day, lat, lon, lag(lat) OVER w AS lat0, lag(lon) OVER w AS lon0 FROM {_VISITS} v JOIN (SELECT id, lat, lon FROM ents) p ON p.id = v.place WINDOW w AS (PARTITION BY actor ORDER BY day NULLS LAST, place))
-SELECT actor, count(*) AS visits, count(DISTINCT place) AS places, round(coalesce(sum(CASE WHEN day IS NOT NULL THEN round(2 * 6371 * asin(sqrt(least(1, greatest(0, pow(sin(radians(lat - lat0) / 2), 2) + cos(radians(lat0)) * cos(radians(lat)) * pow(sin(radians(lon - lon0) / 2), 2))))), 3) END), 0), 1) AS km FROM v GROUP BY 1""")
-def geo_pattern_of_life(fx):
-    return geo.pattern_of_life(fx.ents, fx.rels)
-
-
 @query("SELECT a.id AS a, b.id AS b, round(2 * 6371 * asin(sqrt(least(1, greatest(0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))), 3) AS km FROM ents a JOIN ents b ON a.lat IS NOT NULL AND b.lat IS NOT NULL AND a.k + 1 = b.k")
 def geo_haversine(fx):
     p = fx.ents.where("lat is not null").select("id", "lat", "lon", "k")
@@ -399,24 +361,6 @@ def src_bulk_import(fx):
     return out
 
 
-@query("""
-SELECT problem, count(*) AS n FROM (SELECT 'self_loop' AS problem FROM rels WHERE source_id = target_id UNION ALL SELECT 'unknown_source' FROM rels WHERE source_id NOT IN (SELECT id FROM ents)
-UNION ALL SELECT 'unknown_target' FROM rels WHERE target_id NOT IN (SELECT id FROM ents) UNION ALL SELECT 'confidence' FROM rels WHERE confidence_score < 0 OR confidence_score > 1) GROUP BY 1""")
-def src_edge_integrity(fx):
-    return identity.edge_problems(fx.rels, fx.ents)
-
-
-@query("SELECT event_id, list_sort(list_filter(json_keys(props), lambda x: x <> 'z')) AS unknown FROM events WHERE event_type = 'error'")
-def src_validate_props(fx):
-    keys = F.array_sort(F.array_except(F.map_keys(F.from_json("props", "map<string,string>")), F.array(F.lit("z"))))
-    return fx.events.where("event_type = 'error'").select("event_id", keys.alias("unknown"))
-
-
-@query("SELECT type, count(*) AS n, min(id) AS first, max(id) AS last FROM rels GROUP BY 1")
-def src_tables(fx):
-    return fx.rels.groupBy("type").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last"))
-
-
 @query("SELECT speaker, next, count(*) AS n FROM (SELECT role AS speaker, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM comms) WHERE next IS NOT NULL GROUP BY 1, 2")
 def src_comms_conversations(fx):
     return corpus.replies(fx.comms)
@@ -437,11 +381,6 @@ def snk_projection(fx):
     return fx.ents.groupBy(corpus.label_of("type").alias("label")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT token, id, count(*) AS n FROM (SELECT id, unnest(list_filter(string_split_regex(lower(name), '[^a-z0-9]+'), lambda t: t <> '')) AS token FROM ents WHERE type IN ('asset', 'location')) GROUP BY 1, 2")
-def snk_search_index(fx):
-    return text.index(fx.ents.where("type in ('asset', 'location')"), "id", "name")
-
-
 # governance
 
 _RANK = "CASE classification WHEN 'unclassified' THEN 0 WHEN 'official' THEN 1 WHEN 'confidential' THEN 2 WHEN 'secret' THEN 3 ELSE 4 END"
@@ -494,21 +433,6 @@ def gov_audit_seal(fx):
 # search and text
 
 
-@query("""
-WITH q(query) AS (VALUES ('steel copper'), ('Large Brass'), ('france'), ('Customer')), d AS (SELECT id, name, string_split_regex(lower(name), '[^a-z0-9]+') AS have FROM ents WHERE type IN ('asset', 'location')),
-s AS (SELECT query, id, name, len(list_filter(string_split(lower(query), ' '), lambda t: list_contains(have, t))) / len(string_split(query, ' ')) AS l, 1 - levenshtein(lower(query), lower(name)) / greatest(length(query), length(name)) AS f FROM d CROSS JOIN q)
-SELECT query, id, round(least(1, (.5 * l + CAST(.25 AS DOUBLE) * f) / .75 + CASE WHEN lower(query) = lower(name) THEN .4 ELSE 0 END), 4) AS score, CASE WHEN lower(query) = lower(name) THEN 'exact' WHEN l >= f THEN 'lexical' ELSE 'fuzzy' END AS matched_on FROM s
-WHERE round(least(1, (.5 * l + CAST(.25 AS DOUBLE) * f) / .75 + CASE WHEN lower(query) = lower(name) THEN .4 ELSE 0 END), 4) >= .05""")
-def sea_search(fx):
-    queries = fx.spark.createDataFrame([("steel copper",), ("Large Brass",), ("france",), ("Customer",)], "query string")
-    return text.search(fx.ents.where("type in ('asset', 'location')"), queries)
-
-
-@query("SELECT name, score FROM (SELECT DISTINCT name, CASE WHEN starts_with(lower(name), 'a') THEN 1.0::DOUBLE WHEN contains(lower(name), 'a') THEN 0.6::DOUBLE END AS score FROM ents WHERE type IN ('asset', 'location')) WHERE score IS NOT NULL ORDER BY score DESC, length(name), name LIMIT 20")
-def sea_suggest(fx):
-    return text.suggest(fx.ents.where("type in ('asset', 'location')"), "a", 20)
-
-
 @query("""
 WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0),
 s AS (SELECT query_id, vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 5) AS cosine FROM embeddings JOIN q ON vec_id <> query_id)
@@ -522,31 +446,6 @@ def sea_embed(fx):
     return text.embed(fx.documents, "doc_id", "text")
 
 
-@query("""
-WITH q(question, t) AS (VALUES ('que la maison', 'que'), ('que la maison', 'la'), ('que la maison', 'maison'), ('other thing and nothing', 'other'), ('other thing and nothing', 'thing'), ('other thing and nothing', 'nothing')), z AS (SELECT question, count(*) AS k FROM q GROUP BY 1),
-f AS (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS token FROM documents), s AS (SELECT question, doc_id, count(*) AS n, min(t) AS term FROM f JOIN q ON t = token GROUP BY 1, 2),
-r AS (SELECT question, doc_id, term, round(n / k, 4) AS score, row_number() OVER (PARTITION BY question ORDER BY round(n / k, 4) DESC, doc_id) AS rank FROM s JOIN z USING (question))
-SELECT question, rank, doc_id, score, substr(text, greatest(instr(lower(text), term) - 40, 1), 160) AS snippet FROM r JOIN documents USING (doc_id) WHERE rank <= 10""")
-def rag_retrieve(fx):
-    questions = fx.spark.createDataFrame([("que la maison",), ("other thing and nothing",)], "question string")
-    return text.retrieve(fx.documents, questions, 10)
-
-
-@query(r"""
-SELECT DISTINCT doc_id, kind, lower(unnest(v)) AS value FROM (SELECT doc_id, 'email' AS kind, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') AS v FROM documents
-UNION ALL SELECT doc_id, 'url', regexp_extract_all(text, 'https?://[^\s<>"'']+') FROM documents UNION ALL SELECT doc_id, 'eth', regexp_extract_all(text, '\b0x[a-fA-F0-9]{40}\b') FROM documents
-UNION ALL SELECT doc_id, 'ipv4', regexp_extract_all(text, '\b(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\b') FROM documents
-UNION ALL SELECT doc_id, 'sha256', regexp_extract_all(text, '\b[a-fA-F0-9]{64}\b') FROM documents UNION ALL SELECT doc_id, 'sha1', regexp_extract_all(text, '\b[a-fA-F0-9]{40}\b') FROM documents UNION ALL SELECT doc_id, 'md5', regexp_extract_all(text, '\b[a-fA-F0-9]{32}\b') FROM documents)""")
-def x_selectors(fx):
-    return text.selectors(fx.documents, "doc_id", "text")
-
-
-@query()
-def x_extract_graph(fx):
-    joined = fx.gedges.join(fx.ents.select(F.col("id").alias("u"), F.initcap("name").alias("a")), "u").join(fx.ents.select(F.col("id").alias("v"), F.initcap("name").alias("b")), "v")
-    return text.extract_graph(joined.select(F.concat_ws(">", "u", "v").alias("id"), F.concat("a", F.lit(" owns "), "b", F.lit(". It is old.")).alias("text")), "id", "text")
-
-
 # graph
 
 
@@ -555,21 +454,6 @@ def g_degree(fx):
     return graph.degree(fx.gedges)
 
 
-@query()
-def g_pagerank(fx):
-    return graph.pagerank(edges(fx))
-
-
-@query()
-def g_eigenvector(fx):
-    return graph.eigenvector(edges(fx))
-
-
-@query()
-def g_betweenness(fx):
-    return graph.betweenness(edges(fx), pivots=200)
-
-
 @query()
 def g_communities(fx):
     return graph.communities(edges(fx))
@@ -627,32 +511,11 @@ def g_components(fx):
     return graph.components(edges(fx))
 
 
-@query()
-def g_bridges(fx):
-    return graph.bridges(edges(fx))
-
-
-@query()
-def g_resilience(fx):
-    return graph.resilience(edges(fx), 10)
-
-
-@query()
-def g_articulation(fx):
-    top = fx.gdeg.orderBy(F.desc("d"), "id").limit(20)
-    return graph.articulation(edges(fx), top)
-
-
 @query()
 def g_influence(fx):
     return graph.influence(edges(fx), ["P1", "P2", "P3"], 100)
 
 
-@query()
-def g_cliques(fx):
-    return graph.cliques(fx.gedges).select(F.array_join("members", ",").alias("members"), "size")
-
-
 @query("""
 WITH RECURSIVE e AS (SELECT source_id AS boss, target_id AS report FROM rels WHERE type = 'MANAGES' AND source_id <> target_id), lv(id, level) AS (SELECT boss, 0 FROM e WHERE boss NOT IN (SELECT report FROM e) UNION SELECT e.report, lv.level + 1 FROM lv JOIN e ON e.boss = lv.id)
 SELECT l.id, level, b.boss AS reports_to, coalesce(s.n, 0) AS subordinates FROM (SELECT id, max(level) AS level FROM lv GROUP BY 1) l LEFT JOIN (SELECT report, min(boss) AS boss FROM e GROUP BY 1) b ON b.report = l.id LEFT JOIN (SELECT boss, count(*) AS n FROM e GROUP BY 1) s ON s.boss = l.id""")
@@ -660,49 +523,4 @@ def g_hierarchy(fx):
     return graph.hierarchy(fx.rels.where("type in ('MANAGES', 'SUPERVISES')").select(F.col("source_id").alias("boss"), F.col("target_id").alias("report")))
 
 
-@query()
-def g_cells(fx):
-    return graph.cells(kept := edges(fx), graph.components(kept).select("id", F.col("component").alias("c")))
-
-
-@query()
-def g_path_strongest(fx):
-    return graph.best_paths(edges(fx), "P1", "widest").select("id", "score")
-
-
-@query()
-def g_path_most_likely(fx):
-    return graph.best_paths(edges(fx), "P1", "likely").select("id", F.round("score", 9).alias("score"))
-
-
-@query()
-def g_path_shortest(fx):
-    kept = edges(fx)
-    ends = kept.select(F.col("u").alias("id")).orderBy("id").limit(1).first()
-    far = kept.select(F.col("v").alias("id")).orderBy(F.desc("id")).limit(1).first()
-    return graph.shortest_paths(kept, ends.id if ends else "", far.id if far else "", 5)
-
-
-@query()
-def g_roles(fx):
-    return graph.roles(kept := edges(fx), graph.betweenness(kept, pivots=50))
-
-
-@query()
-def g_anomalies(fx):
-    return graph.anomalies(kept := edges(fx), graph.betweenness(kept, pivots=50))
-
-
-@query()
-def g_brokers(fx):
-    between = graph.betweenness(edges(fx), pivots=50)
-    return between.join(graph.holes(fx.gedges), "id").orderBy(F.desc("score"), "id").limit(25)
-
-
-@query()
-def alr_feed(fx):
-    bad = fx.evidence.where("verification_status = 'verified' and stance = 'contradicts'").select(F.col("entity_id").alias("id")).distinct().select("id", F.lit("contradiction").alias("kind"), F.lit("high").alias("severity"))
-    odd = graph.anomalies(kept := edges(fx), graph.betweenness(kept, pivots=20)).select("id", "kind", F.when(F.col("kind") == "isolate", "low").otherwise("medium").alias("severity"))
-    names = identity.screen(fx.ents.where("type = 'asset'"), fx.watch).where("score >= 0.9").select(F.col("name").alias("n")).distinct()
-    hit = fx.ents.where("type = 'asset'").select("id", identity.normalized(F.col("name")).alias("n")).join(names, "n", "left_semi").select("id", F.lit("watchlist").alias("kind"), F.lit("high").alias("severity"))
-    return bad.unionByName(odd).unionByName(hit)
+from veridica.plans import insight, structure  # noqa: E402, F401  (they register further queries here)

@@ -65,6 +65,20 @@ SELECT c_nationkey AS case_id, 'entity' AS item_type, 'C' || c_custkey AS item_i
 SELECT o_orderkey AS task_id, o_custkey % 25 AS case_id, o_custkey % 7 AS assignee, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'closed' ELSE 'in_progress' END AS status, CAST(o_orderdate AS DATE) AS due FROM {orders}""",
     "users": """
 SELECT s_suppkey AS user_id, CAST(s_suppkey % 5 AS INT) AS clearance, CASE WHEN s_suppkey % 2 = 0 THEN 'ALPHA' ELSE 'BRAVO' END AS compartment FROM {supplier} WHERE s_suppkey < 5""",
+    "annotations": """
+SELECT o_orderkey AS annotation_id, 'C' || o_custkey AS entity_id, CASE o_orderkey % 4 WHEN 0 THEN 'note' WHEN 1 THEN 'assumption' WHEN 2 THEN 'dissent' ELSE 'devils_advocate' END AS kind, o_orderpriority AS text, CAST(o_orderdate AS DATE) AS created_on FROM {orders}""",
+    "comments": """
+SELECT event_id AS comment_id, 'case' AS target_type, user_id % 25 AS target_id, event_type AS body, ts AS created_at FROM {events}""",
+    "views": """
+SELECT c_custkey AS view_id, c_custkey % 7 AS owner, c_custkey % 3 = 0 AS shared, CASE WHEN c_custkey % 2 = 0 THEN 'graph' ELSE 'map' END AS kind, c_nationkey AS case_id FROM {customer}""",
+    "merges": """
+SELECT p_partkey AS merge_id, 'P' || (p_partkey - p_partkey % 2) AS kept_id, 'P' || p_partkey AS merged_id, p_partkey % 5 = 0 AS undone, DATE '2023-01-01' + CAST(p_partkey % 300 AS INT) AS created_on FROM {part} WHERE p_partkey % 2 = 1""",
+    # names by which entities go besides their own
+    "aliases": """
+SELECT 'P' || p_partkey AS id, p_name || ' ' || p_brand AS alias FROM {part} WHERE p_partkey % 4 = 0 UNION ALL SELECT 'C' || c_custkey, c_mktsegment || ' ' || c_custkey FROM {customer} WHERE c_custkey % 4 = 0""",
+    "decisions": """
+SELECT e.relationship_id, e.entity_id, e.source, a.id AS seq, CASE WHEN a.action = 'delete' THEN 'rejected' WHEN a.action = 'create' THEN 'unverified' ELSE 'verified' END AS status
+FROM (SELECT DISTINCT relationship_id, entity_id, source FROM {evidence}) e JOIN {audit} a ON 'P' || a.target_id = e.entity_id""",
     # the undirected graph of the structure operators
     "gedges": """
 SELECT source_id AS u, target_id AS v, confidence_score AS w FROM {rels} WHERE type = 'ASSOCIATED_WITH'""",

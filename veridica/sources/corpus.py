@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from veridica.operators.frames import new_path
 
-def feed_items(feeds: DataFrame, max_items: int = 50) -> DataFrame:
+
+def feed_items(feeds: DataFrame, max_items: int | None = None) -> DataFrame:
     """(feed_id, no, title, summary, link) of RSS or Atom texts (feed_id, xml), read by XPath."""
     def part(path: str):
         return F.expr(f"xpath(xml, '{path}')")
@@ -17,7 +19,7 @@ def feed_items(feeds: DataFrame, max_items: int = 50) -> DataFrame:
     xml = feeds.withColumn("xml", F.regexp_replace("xml", r'\sxmlns="[^"]*"', ""))
     rss = xml.select("feed_id", F.posexplode(F.arrays_zip(part("//item/title/text()").alias("title"), part("//item/description/text()").alias("summary"), part("//item/link/text()").alias("link"))).alias("no", "i"))
     atom = xml.select("feed_id", F.posexplode(F.arrays_zip(part("//entry/title/text()").alias("title"), F.when(F.size(part("//entry/summary/text()")) > 0, part("//entry/summary/text()")).otherwise(part("//entry/content/text()")).alias("summary"), part("//entry/link/@href").alias("link"))).alias("no", "i"))
-    return rss.unionByName(atom).where(F.col("no") < max_items).select("feed_id", "no", "i.title", "i.summary", "i.link")
+    return rss.unionByName(atom).where(F.lit(True) if max_items is None else F.col("no") < max_items).select("feed_id", "no", "i.title", "i.summary", "i.link")
 
 
 def _mails(batches: Iterator) -> Iterator:
@@ -63,12 +65,17 @@ def replies(chat: DataFrame) -> DataFrame:
     return chat.withColumn("next", follow).where("next is not null").groupBy(F.col("role").alias("speaker"), "next").agg(F.count("*").alias("n"))
 
 
+def csv_text(raw: Column) -> Column:
+    """A comma-separated text as lines of trimmed cells, blank rows left out."""
+    cells = F.transform(F.split(raw, r"\r?\n"), lambda r: F.array_join(F.transform(F.split(r, ","), lambda c: F.trim(c)), ", "))
+    return F.array_join(F.filter(cells, lambda r: F.regexp_replace(r, "[, ]", "") != ""), "\n")
+
+
 def text_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of .txt, .csv and .json files; CSV rows become comma-joined cells, JSON its `key: value` lines."""
     raw = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "utf-8").alias("raw"))
     kind = F.regexp_extract("path", r"\.(\w+)$", 1)
-    cells = F.transform(F.split("raw", r"\r?\n"), lambda r: F.array_join(F.transform(F.split(r, ","), lambda c: F.trim(c)), ", "))
-    csv = F.array_join(F.filter(cells, lambda r: F.regexp_replace(r, "[, ]", "") != ""), "\n")
+    csv = csv_text(F.col("raw"))
     pairs = F.map_entries(F.from_json("raw", "map<string,string>"))
     json = F.array_join(F.transform(pairs, lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n")
     return raw.where(kind.isin("txt", "csv", "json")).select("path", F.when(kind == "csv", csv).when(kind == "json", json).otherwise(F.col("raw")).alias("text"))
@@ -78,6 +85,14 @@ def label_of(type_: str):
     return F.replace(F.initcap(F.replace(type_, F.lit("_"), F.lit(" "))), F.lit(" "), F.lit(""))
 
 
+def exported(ents: DataFrame, rels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """export_graph() into the shared folder, and what it wrote (nodes with their label, edges)."""
+    path = new_path(ents.sparkSession)
+    export_graph(ents, rels, path)
+    read = ents.sparkSession.read
+    return read.parquet(f"{path}/nodes"), read.parquet(f"{path}/edges")
+
+
 def export_graph(ents: DataFrame, rels: DataFrame, path: str) -> None:
     """Nodes by label and edges by type, as partitioned Parquet."""
     ents.withColumn("label", label_of("type")).write.mode("overwrite").partitionBy("label").parquet(f"{path}/nodes")
