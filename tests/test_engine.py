@@ -162,6 +162,47 @@ def test_audit_chain_catches_changes(spark):
         assert not got.valid and got.broken_at == i
 
 
+def test_audit_chain_escapes(spark):
+    rows = [(1, "u", 'say "x"', "a\\b"), (2, "u", None, "line\nend"), (3, "u", "\t", None), (4, "u", '"prev_hash": ""', "é")]
+    df = spark.createDataFrame([(i, u, a, t, 7, f"2024-01-01 00:00:0{i}") for i, u, a, t in rows], "id long, actor_id string, action string, target_table string, target_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    sealed = governance.seal(df, "actor_id")
+    assert governance.verify_chain(sealed, "actor_id").first().valid
+    assert not governance.verify_chain(sealed.withColumn("action", F.coalesce("action", F.lit("null"))), "actor_id").first().valid
+
+
+def test_cut_nodes_match_removal(spark):
+    rng = random.Random(12)
+    for n, m in ((14, 16), (25, 24), (30, 45)):
+        pairs = {tuple(sorted(rng.sample(range(n), 2))) for _ in range(m)}
+
+        def parts(drop_node=None, drop_edge=None, pairs=pairs):
+            adj = {}
+            for u, v in pairs:
+                if drop_node not in (u, v):
+                    adj.setdefault(u, set())
+                    adj.setdefault(v, set())
+                    if (u, v) != drop_edge:
+                        adj[u].add(v)
+                        adj[v].add(u)
+                else:
+                    adj.setdefault(v if u == drop_node else u, set())
+            seen, count = set(), 0
+            for s in adj:
+                if s not in seen:
+                    count, todo = count + 1, [s]
+                    while todo:
+                        x = todo.pop()
+                        if x not in seen:
+                            seen.add(x)
+                            todo += adj[x]
+            return count
+
+        ends = {x for p in pairs for x in p}
+        g = edges(spark, [("n%02d" % u, "n%02d" % v, 1.0) for u, v in sorted(pairs)]).coalesce(1)
+        assert {r.id for r in graph.articulation(g).collect()} == {"n%02d" % x for x in ends if parts(drop_node=x) > parts()}
+        assert {(r.u, r.v) for r in graph.bridges(g).collect()} == {("n%02d" % u, "n%02d" % v) for u, v in pairs if parts(drop_edge=(u, v)) > parts()}
+
+
 def test_sources_and_text(spark, tmp_path):
     rss = "<rss><channel><item><title>One</title><link>http://a</link><description>x</description></item><item><title>Two</title><link>http://b</link><description>y</description></item></channel></rss>"
     atom = '<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>T</title><link href="http://c"/><content>z</content></entry></feed>'
@@ -195,8 +236,18 @@ def test_streams(spark, tmp_path):
     stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "e")).withColumn("ts", F.col("ts").cast("timestamp"))
     audit = stream.select(F.concat(F.lit("A"), "user_id").alias("actor_id"), F.lit("delete").alias("action"), "ts")
     assert drain(streams.insider_windows(audit), "complete", "insider").agg(F.sum("actions")).first()[0] == events.count()
+    daily = drain(streams.insider_windows(audit, slide="12 hours"), "complete", "sliding").agg(F.sum("actions")).first()[0]
+    assert daily == 2 * events.count()
     tx = stream.select(F.col("user_id").cast("string").alias("source"), F.col("event_type").alias("target"), F.col("value").alias("amount"), "ts")
     assert drain(streams.flow_windows(tx), "complete", "flows").agg(F.sum("n")).first()[0] == events.count()
+    assert drain(streams.wallet_sessions(tx), "complete", "sessions").agg(F.sum("n")).first()[0] == events.count()
+    named = stream.select(F.col("event_type").alias("name"), "ts")
+    listed = spark.createDataFrame([("error",)], "name string")
+    assert [r["name"] for r in drain(streams.screened(named, listed), "append", "screened").collect()] == ["error"]
+    visits = stream.where("event_id < 40").select(F.concat(F.lit("A"), "user_id").alias("actor"), F.lit("here").alias("place"), "ts")
+    some = {(r.user_id, r.event_id) for r in events.where("event_id < 40").collect()}
+    want = sum(f"A{a}" < f"A{b}" for a, _ in some for b, _ in some)
+    assert drain(streams.colocation(visits, visits, 30), "append", "met").count() == want
     signed = stream.select("user_id", F.lit("supports").alias("stance"), F.lit("verified").alias("verification_status"), F.when(F.col("event_id") % 2 == 0, 1).otherwise(-1).alias("sign"), F.lit(0.5).alias("reliability_score"))
     assert drain(streams.confidence_deltas(signed, "user_id"), "complete", "conf").count() == events.select("user_id").distinct().count()
 

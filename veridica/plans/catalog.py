@@ -143,9 +143,10 @@ def agg_case_overview(fx):
     return en.case_overview(fx.cases, fx.case_items, fx.tasks)
 
 
-@query("SELECT id, name, created_on FROM ents WHERE type = 'person' AND name ILIKE '%1%' ORDER BY created_on DESC, id LIMIT 50 OFFSET 10")
+@query("SELECT id, name, created_on FROM ents WHERE type = 'person' AND name ILIKE '%1%' AND classification IN ('unclassified', 'official', 'confidential') ORDER BY created_on DESC, id LIMIT 50 OFFSET 10")
 def flt_entities(fx):
-    return en.list_entities(fx.ents, "person", "1", 10, 50).select("id", "name", "created_on")
+    """A page of the people with a 1 in their name that a clearance of 2 may see; access is filtered before the limit."""
+    return en.list_entities(fx.ents.where(governance.rank() <= 2), "person", "1", 10, 50).select("id", "name", "created_on")
 
 
 @query("SELECT DISTINCT id, type FROM rels WHERE (source_id = 'S1' OR target_id = 'S1') AND type IN ('OWNS', 'MANAGES')")
@@ -176,9 +177,10 @@ def flt_watchlist(fx):
     return fx.watch.select("id", "name").orderBy("name", "id").offset(2).limit(20)
 
 
-@query("SELECT analysis_id, item_id, weight FROM ach_items WHERE weight >= 2")
+@query("SELECT analysis_id, item_id, weight FROM ach_items ORDER BY analysis_id DESC, item_id LIMIT 60 OFFSET 5")
 def flt_ach(fx):
-    return fx.ach_items.where("weight >= 2").select("analysis_id", "item_id", "weight")
+    """Items of the analyses, newest analysis first, a page of them."""
+    return fx.ach_items.select("analysis_id", "item_id", "weight").orderBy(F.desc("analysis_id"), "item_id").offset(5).limit(60)
 
 
 @query("SELECT task_id, case_id, due FROM tasks WHERE assignee = 3 AND status = 'open'")
@@ -419,15 +421,19 @@ def _chains(fx):
     return governance.seal(rows, "actor_id"), rows
 
 
-@query("SELECT actor_id, count(*) AS entries, 0 AS mismatches, 0 AS forks, 0 AS orphans, true AS valid FROM audit GROUP BY 1")
+@query("SELECT actor_id, entries, mismatches, 0 AS forks, 0 AS orphans, mismatches = 0 AS valid FROM (SELECT actor_id, count(*) AS entries, count(*) FILTER (WHERE id % 97 = 0) AS mismatches FROM audit GROUP BY 1)")
 def gov_audit_verify(fx):
-    sealed = _chains(fx)[0]
+    """Sealed chains of which every 97th entry was changed afterwards."""
+    sealed = _chains(fx)[0].withColumn("action", F.when(F.col("id") % 97 == 0, "tampered").otherwise(F.col("action")))
     return governance.verify_chain(sealed, "actor_id").select("actor_id", "entries", "mismatches", "forks", "orphans", "valid")
 
 
-@query("SELECT actor_id, count(*) AS entries, count(*) AS hashes FROM audit GROUP BY 1")
+@query("""
+WITH RECURSIVE r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY actor_id ORDER BY ts, id) AS n FROM audit),
+c(actor_id, n, h) AS (SELECT DISTINCT actor_id, CAST(0 AS BIGINT), '' FROM r UNION ALL SELECT r.actor_id, r.n, sha256('{"action": "' || action || '", "actor_id": "' || r.actor_id || '", "id": "' || id || '", "prev_hash": "' || c.h || '", "target_id": "' || target_id || '", "target_table": "' || target_table || '"}') FROM c JOIN r ON r.actor_id = c.actor_id AND r.n = c.n + 1)
+SELECT actor_id, max(n) AS entries, arg_max(h, n) AS head FROM c GROUP BY 1""")
 def gov_audit_seal(fx):
-    return _chains(fx)[0].groupBy("actor_id").agg(F.count("*").alias("entries"), F.count_distinct("entry_hash").alias("hashes"))
+    return _chains(fx)[0].groupBy("actor_id").agg(F.count("*").alias("entries"), F.max_by("entry_hash", F.struct("ts", "id")).alias("head"))
 
 
 # search and text
