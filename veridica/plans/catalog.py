@@ -529,4 +529,4 @@ def g_hierarchy(fx):
     return graph.hierarchy(fx.rels.where("type in ('MANAGES', 'SUPERVISES')").select(F.col("source_id").alias("boss"), F.col("target_id").alias("report")))
 
 
-from veridica.plans import insight, structure  # noqa: E402, F401  (they register further queries here)
+from veridica.plans import insight, streamed, structure  # noqa: E402, F401  (they register further queries here)
