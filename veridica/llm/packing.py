@@ -52,8 +52,8 @@ def rank_encoder(path: str, pattern: str):
     def encode(text: str) -> list[int]:
         try:
             return encoding.encode(text, allowed_special="all")
-        except BaseException as error:
-            if type(error).__name__ != "PanicException" or not os.path.exists(beside):
+        except BaseException as error:  # a panic of the library is no Exception
+            if not (isinstance(error, ValueError) or type(error).__name__ == "PanicException") or not os.path.exists(beside):
                 raise
             return json_encoder(beside)(text)
 
