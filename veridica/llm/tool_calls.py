@@ -112,7 +112,7 @@ def validate(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     parsed = parsed.withColumn("_ok", F.coalesce(F.schema_of_variant("_v").startswith("OBJECT"), F.lit(False)))
     canonical = F.when(F.col("_ok"), F.to_json("_v"))
     parsed = parsed.withColumn("_keys", F.json_object_keys(canonical))
-    parsed = parsed.withColumn("_kinds", F.transform_values(F.from_json(canonical, "map<string,variant>"), lambda k, v: F.schema_of_variant(v)))
+    parsed = parsed.withColumn("_kinds", F.transform_values(F.from_json(F.when(F.col("_ok"), F.col("arguments")), "map<string,variant>"), lambda k, v: F.schema_of_variant(v)))
     joined = parsed.join(shape, "name", "left")
     missing = F.transform(F.filter("shape", lambda s: s["required"] & ~F.array_contains("_keys", s["parameter"])), lambda s: F.concat(F.lit("missing "), s["parameter"]))
     unknown = F.transform(F.array_except("_keys", F.transform("shape", lambda s: s["parameter"])), lambda k: F.concat(F.lit("unexpected "), k))
