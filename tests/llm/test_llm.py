@@ -621,7 +621,8 @@ def test_chat_order_and_ties(spark):
 
 def test_benchmark_in_parts(spark):
     rows = corpus(50, seed=21)
-    items = [(i, " ".join(t.split()[3:40])) for i, t in rows[:20]] + [(30, "ab"), (31, None)]
+    items = [(i, " ".join(t.split()[3:40])) for i, t in rows[:20]] + [(30, "ab"), (31, None), (32, "p0 p1 p2 p3 p4 p5 p6 p7 p8 p9")]
+    rows.append((999, "p0 p1 p2 p3 p4 put in p5 p6 p7 p8 p9"))
     bench = spark.createDataFrame(items, "item_id long, text string")
     whole, parts = ({(r.doc_id, r.text_hash): r for r in decontamination.decontaminate(docs(spark, rows), bench, max_test_bytes=m).collect()} for m in (1 << 20, 300))
     assert whole == parts and sum(r.n_hit > 0 for r in whole.values()) > 20 and any(r.n_near for r in whole.values())
