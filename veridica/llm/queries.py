@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from veridica.llm import (
+    best_two_fit,
     decontamination,
     exact_dedup,
     jaccard_join,
@@ -141,6 +142,10 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.with_group_error(coded, "label", "label_error").select("vec_id", code.alias("code"), "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
 
 
+def op13_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_two_fit.pack(table(spark, sf_dir, "documents"), rank_tokenizer())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_exact_dedup": op2_exact_dedup,
@@ -154,6 +159,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_vector_codes": op12_vector_codes,
+    "op13_best_two_fit": op13_best_two_fit,
     "pipeline": corpus_pipeline.run,
 }
 
