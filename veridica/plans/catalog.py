@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from veridica.functions import text
 from veridica.operators import entities as en
 from veridica.operators import evidence as ev
-from veridica.operators import geo, governance, graph, identity
+from veridica.operators import geo, governance, graph, identity, vectors
 from veridica.operators.frames import settle
 from veridica.plans.fixture import Fixture, ctes, load
 from veridica.sources import corpus
@@ -447,6 +447,11 @@ def sea_knn(fx):
     return text.nearest(fx.embeddings, fx.embeddings.where("vec_id % 100 = 0"), 10)
 
 
+@query()
+def sea_knn_lsh(fx):
+    return vectors.nearest(fx.embeddings, fx.embeddings.where("vec_id % 100 = 0"), 10)
+
+
 @query()
 def sea_embed(fx):
     return text.embed(fx.documents, "doc_id", "text")
