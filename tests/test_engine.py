@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veridica.functions import text
-from veridica.operators import evidence, geo, governance, graph, identity
+from veridica.operators import evidence, geo, governance, graph, identity, names
 from veridica.sources import corpus
 from veridica.streaming import streams
 
@@ -148,7 +148,7 @@ def test_geo_and_identity(spark):
     row = spark.range(1).select(geo.haversine(F.lit(51.5074), F.lit(-0.1278), F.lit(48.8566), F.lit(2.3522)).alias("d")).first()
     assert abs(row.d - 343) < 5
     pairs = spark.createDataFrame([("ada brook", "ada brook"), ("brook ada", "ada brook"), ("ruth", "calder mills"), ("katharina", "katarina"), ("", "")], "a string, b string")
-    got = [r.s for r in pairs.select(identity.similarity("a", "b").alias("s")).collect()]
+    got = [r.s for r in pairs.select(names.similarity("a", "b").alias("s")).collect()]
     assert got[0] == 1 and got[1] >= 0.9 and got[2] < 0.5 and got[3] > 0.8 and got[4] == 0
 
 

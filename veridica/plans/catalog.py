@@ -294,15 +294,28 @@ def tim_entity_date(fx):
 # identity
 
 
+_JACCARD = "len(list_intersect(string_split({0}, ' '), string_split({1}, ' '))) / len(list_distinct(list_concat(string_split({0}, ' '), string_split({1}, ' '))))"
 _SIM = "CASE WHEN a = '' OR b = '' THEN 0 WHEN a = b THEN 1 ELSE round(greatest(len(list_intersect(string_split(a, ' '), string_split(b, ' '))) / len(list_distinct(list_concat(string_split(a, ' '), string_split(b, ' ')))), 1 - levenshtein(a, b) / greatest(length(a), length(b))), 4) END"
 _NORM = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
 
 
+_WHY = "CASE WHEN a = b THEN 'identical normalized name' WHEN len(list_intersect(string_split(a, ' '), string_split(b, ' '))) / len(list_distinct(list_concat(string_split(a, ' '), string_split(b, ' ')))) >= 1 - levenshtein(a, b) / greatest(length(a), length(b)) THEN 'token overlap' ELSE 'string similarity' END"
+
+
+# all pairs of a block by distance; of one token, or a word and a number, no other name has .85 of the tokens
 @query(f"""
-WITH n AS (SELECT type, {_NORM.format("name")} AS n, count(*) AS c FROM ents WHERE type = 'asset' GROUP BY 1, 2)
-SELECT * FROM (SELECT type, a, b, ca AS bearers_a, cb AS bearers_b, {_SIM} AS score FROM (SELECT x.type, x.n AS a, y.n AS b, x.c AS ca, y.c AS cb FROM n x JOIN n y ON x.type = y.type AND substr(x.n, 1, 3) = substr(y.n, 1, 3) AND x.n < y.n WHERE x.n <> '')) WHERE score >= .6""")
+WITH e AS (SELECT id, type, {_NORM.format("name")} AS n FROM ents), c AS (SELECT type, substr(n, 1, 3) AS start, n, min(id) AS first, count(*) AS bearers FROM e WHERE n <> '' GROUP BY ALL),
+val AS (SELECT type, start, n, n AS v FROM c UNION SELECT type, substr(n, 1, 3), n, {_NORM.format("alias")} FROM e JOIN aliases USING (id) WHERE n <> '' AND {_NORM.format("alias")} <> ''),
+sh AS (SELECT type, n, sum(m - 1)::BIGINT AS n_shared, min(CASE WHEN n = lo THEN hi ELSE lo END) AS shared_with FROM (SELECT *, count(*) OVER w AS m, min(n) OVER w AS lo, max(n) OVER w AS hi FROM val WINDOW w AS (PARTITION BY type, start, v)) WHERE m > 1 GROUP BY ALL),
+half AS (SELECT type, a, b, {_SIM} AS score, {_WHY} AS reason FROM (SELECT x.type, x.n AS a, y.n AS b FROM c x JOIN c y ON x.type = y.type AND x.start = y.start AND x.n < y.n
+  AND CASE WHEN 1 - levenshtein(x.n, y.n) / greatest(length(x.n), length(y.n)) >= .8499 THEN true WHEN NOT contains(x.n, ' ') OR regexp_matches(x.n, '^[a-z]+ [0-9]+$') THEN false ELSE {_JACCARD.format("x.n", "y.n")} >= .8499 END) WHERE {_SIM} >= .85),
+li AS (SELECT type, n, count(*) AS n_links, arg_min(struct_pack(other := other, score := score, reason := reason), struct_pack(s := -score, o := other)) AS top FROM (SELECT type, a AS n, b AS other, score, reason FROM half UNION ALL SELECT type, b, a, score, reason FROM half) GROUP BY ALL),
+nb AS (SELECT DISTINCT id, other FROM {INC}),
+f AS (SELECT c.*, n_shared, shared_with, n_links, top.other AS best, top.score AS score, top.reason AS reason FROM c LEFT JOIN sh USING (type, n) LEFT JOIN li USING (type, n) WHERE n_shared IS NOT NULL OR n_links IS NOT NULL),
+co AS (SELECT f.type, f.n, count(*) AS k FROM f JOIN c d ON d.type = f.type AND d.n = f.best JOIN nb x ON x.id = f.first JOIN nb y ON y.id = d.first AND y.other = x.other GROUP BY ALL)
+SELECT f.type, f.n, first, bearers, coalesce(n_shared, 0) AS n_shared, shared_with, coalesce(n_links, 0) AS n_links, best, score, reason, CASE WHEN best IS NOT NULL THEN coalesce(k, 0) END AS shared_neighbors FROM f LEFT JOIN co USING (type, n)""")
 def er_duplicates(fx):
-    return identity.duplicate_names(fx.ents.where("type = 'asset'"), 0.6)
+    return identity.duplicate_names(fx.ents, fx.aliases, fx.rels)
 
 
 @query(f"SELECT type, n, min(id) AS first, count(*) AS size FROM (SELECT id, type, {_NORM.format('name')} AS n FROM ents) WHERE n <> '' GROUP BY 1, 2 HAVING count(*) > 1")
@@ -324,25 +337,28 @@ def er_unmerge(fx):
     return identity.unmerge(*identity.merge(fx.rels, fx.ents.where("type = 'asset' and k % 2 = 1").selectExpr("id as merged", "'P' || (k - k % 2) as kept")))
 
 
-_SCREEN = f"(SELECT a AS name, entry, {_SIM} AS score FROM (SELECT DISTINCT {_NORM.format('name')} AS a FROM ents WHERE type = 'asset') CROSS JOIN (SELECT id AS entry, {_NORM.format('name')} AS b FROM watch))"
+_SCREEN = f"""(SELECT id, type, entry, arg_max(score, p) AS score, arg_max(reason, p) AS reason FROM (
+  SELECT id, type, entry, CASE WHEN a = b THEN 3 ELSE 1 END AS p, score, reason FROM (SELECT id, type, {_NORM.format("name")} AS a FROM ents) JOIN (SELECT a, b, entry, {_SIM} AS score, {_WHY} AS reason FROM (SELECT DISTINCT {_NORM.format("name")} AS a FROM ents) CROSS JOIN (SELECT id AS entry, {_NORM.format("name")} AS b FROM watch) WHERE {_SIM} >= .8) USING (a)
+  UNION ALL SELECT id, type, entry, 2, .95, 'shared name/alias' FROM (SELECT id, type, {_NORM.format("name")} AS v FROM ents UNION SELECT id, type, {_NORM.format("alias")} FROM ents JOIN aliases USING (id)) JOIN (SELECT id AS entry, {_NORM.format("name")} AS v FROM watch) USING (v) WHERE v <> '') GROUP BY ALL)"""
 
 
-@query(f"SELECT name, entry, score FROM {_SCREEN} WHERE score >= .8")
+@query(f"SELECT {_NORM.format('name')} AS name, entry, s.score, s.reason, count(*) AS bearers FROM {_SCREEN} s JOIN ents USING (id) GROUP BY ALL")
 def scr_scan(fx):
-    return identity.screen(fx.ents.where("type = 'asset'"), fx.watch)
+    hits = identity.screen(fx.ents, fx.watch, aliases=fx.aliases)
+    return fx.ents.select("id", identity.normalized(F.col("name")).alias("name")).join(hits, "id").groupBy("name", "entry", "score", "reason").agg(F.count("*").alias("bearers"))
 
 
 @query(f"""
-WITH h AS (SELECT id, 1 AS hit FROM ents WHERE type = 'asset' AND {_NORM.format("name")} IN (SELECT name FROM {_SCREEN} WHERE score >= .9)),
+WITH h AS (SELECT DISTINCT id, 1 AS hit FROM {_SCREEN} WHERE score >= .9),
 nb AS (SELECT DISTINCT id, 1 AS near FROM {INC} WHERE other IN (SELECT id FROM h)), dg AS (SELECT id, count(*) AS degree FROM {INC} GROUP BY 1),
 bad AS (SELECT DISTINCT entity_id AS id, 1 AS bad FROM evidence WHERE verification_status = 'verified' AND stance = 'contradicts')
 SELECT *, CASE WHEN score >= .6 THEN 'high' WHEN score >= .3 THEN 'medium' ELSE 'low' END AS band FROM (
 SELECT id, round(.4 * coalesce(hit, 0) + .2 * coalesce(near, 0) + .15 * coalesce(bad, 0) + CAST(.15 AS DOUBLE) * least(1, coalesce(degree, 0) / 10) + .1 * CASE WHEN is_ai_generated AND confidence_score < .5 THEN 1 ELSE 0 END, 4) AS score, coalesce(degree, 0) AS degree, coalesce(hit, 0) AS hit
-FROM ents LEFT JOIN h USING (id) LEFT JOIN nb USING (id) LEFT JOIN bad USING (id) LEFT JOIN dg USING (id) WHERE type IN ('asset', 'company'))""")
+FROM ents LEFT JOIN h USING (id) LEFT JOIN nb USING (id) LEFT JOIN bad USING (id) LEFT JOIN dg USING (id))""")
 def rsk_score(fx):
-    hits = identity.screen(fx.ents.where("type = 'asset'"), fx.watch)
+    hits = identity.screen(fx.ents, fx.watch, 0.9, fx.aliases)
     bad = fx.evidence.where("verification_status = 'verified' and stance = 'contradicts'").select(F.col("entity_id").alias("id"))
-    return identity.risk(fx.ents.where("type in ('asset', 'company')"), fx.rels, hits, bad)
+    return identity.risk(fx.ents, fx.rels, hits, bad)
 
 
 @query("""

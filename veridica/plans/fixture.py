@@ -51,7 +51,10 @@ SELECT event_id AS id, 'A' || user_id AS actor_id, CASE event_type WHEN 'error'
     "tx": """
 SELECT 'U' || user_id AS from_address, CASE WHEN event_id % 50 = 0 THEN 'U' || user_id WHEN event_id % 41 = 0 THEN ' ' ELSE 'K' || (event_id % 100) END AS to_address, value AS amount, 'tx-' || event_id || '-abcdefghijklmnop' AS tx_hash, ts FROM {events} WHERE event_type = 'purchase'""",
     "watch": """
-SELECT 'W' || min(p_partkey) AS id, substr(p_name, 1, length(p_name) - 1) || 'x' AS name, 'SDN' AS program FROM {part} WHERE p_partkey % 17 = 0 GROUP BY p_name""",
+SELECT 'W' || min(p_partkey) AS id, substr(p_name, 1, length(p_name) - 1) || 'x' AS name, 'SDN' AS program FROM {part} WHERE p_partkey % 17 = 0 GROUP BY p_name
+UNION ALL SELECT 'WC' || c_custkey, substr(c_name, 1, length(c_name) - 1) || 'x', 'SDN' FROM {customer} WHERE c_custkey % 97 = 0
+UNION ALL SELECT 'WS' || s_suppkey, replace(s_name, '#', ' '), 'SDN' FROM {supplier} WHERE s_suppkey % 19 = 0
+UNION ALL SELECT 'WA' || c_custkey, c_mktsegment || ', ' || c_custkey, 'ALIAS' FROM {customer} WHERE c_custkey % 200 = 0""",
     "ach_items": """
 SELECT s_nationkey AS analysis_id, s_suppkey AS item_id, CAST(s_suppkey % 3 + 1 AS DOUBLE) AS weight FROM {supplier}""",
     "ach_ratings": """
@@ -75,7 +78,8 @@ SELECT c_custkey AS view_id, c_custkey % 7 AS owner, c_custkey % 3 = 0 AS shared
 SELECT p_partkey AS merge_id, 'P' || (p_partkey - p_partkey % 2) AS kept_id, 'P' || p_partkey AS merged_id, p_partkey % 5 = 0 AS undone, DATE '2023-01-01' + CAST(p_partkey % 300 AS INT) AS created_on FROM {part} WHERE p_partkey % 2 = 1""",
     # names by which entities go besides their own
     "aliases": """
-SELECT 'P' || p_partkey AS id, p_name || ' ' || p_brand AS alias FROM {part} WHERE p_partkey % 4 = 0 UNION ALL SELECT 'C' || c_custkey, c_mktsegment || ' ' || c_custkey FROM {customer} WHERE c_custkey % 4 = 0""",
+SELECT 'P' || p_partkey AS id, p_name || ' ' || p_brand AS alias FROM {part} WHERE p_partkey % 4 = 0 UNION ALL SELECT 'C' || c_custkey, c_mktsegment || ' ' || c_custkey FROM {customer} WHERE c_custkey % 4 = 0
+UNION ALL SELECT 'C' || c_custkey, c_mktsegment FROM {customer} WHERE c_custkey % 10 = 0""",
     "decisions": """
 SELECT e.relationship_id, e.entity_id, e.source, a.id AS seq, CASE WHEN a.action = 'delete' THEN 'rejected' WHEN a.action = 'create' THEN 'unverified' ELSE 'verified' END AS status
 FROM (SELECT DISTINCT relationship_id, entity_id, source FROM {evidence}) e JOIN {audit} a ON 'P' || a.target_id = e.entity_id""",

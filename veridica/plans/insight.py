@@ -113,12 +113,10 @@ def snk_search_index(fx):
 # identity, risk, investigation
 
 
-@query(f"SELECT id, type, entry, score FROM (SELECT id, type, {_NORM.format('name')} AS name FROM ents WHERE type = 'asset') JOIN (SELECT * FROM {_SCREEN} WHERE score >= .85) USING (name)")
+@query(f"SELECT id, type, entry, score, reason FROM {_SCREEN} WHERE score >= .85")
 def scr_screen(fx):
-    """Every asset with its entries of the watchlist, from .85."""
-    ents = fx.ents.where("type = 'asset'")
-    hits = identity.screen(ents, fx.watch, 0.85)
-    return ents.select("id", "type", identity.normalized(F.col("name")).alias("name")).join(hits, "name").select("id", "type", "entry", "score")
+    """Every entity with its entries of the watchlist, from .85."""
+    return fx.ents.select("id", "type").join(identity.screen(fx.ents, fx.watch, 0.85, fx.aliases), "id")
 
 
 ORACLE_SQL["rsk_top"] = f"SELECT id, score, band FROM ({ORACLE_SQL['rsk_score']}) ORDER BY score DESC, id LIMIT 50"
@@ -126,25 +124,24 @@ ORACLE_SQL["rsk_top"] = f"SELECT id, score, band FROM ({ORACLE_SQL['rsk_score']}
 
 @query()
 def rsk_top(fx):
-    hits = identity.screen(fx.ents.where("type = 'asset'"), fx.watch)
+    hits = identity.screen(fx.ents, fx.watch, 0.9, fx.aliases)
     bad = fx.evidence.where("verification_status = 'verified' and stance = 'contradicts'").select(F.col("entity_id").alias("id"))
-    return en.top_k(identity.risk(fx.ents.where("type in ('asset', 'company')"), fx.rels, hits, bad).select("id", "score", "band"), "score", 50)
+    return en.top_k(identity.risk(fx.ents, fx.rels, hits, bad).select("id", "score", "band"), "score", 50)
 
 
 @query(f"""
 WITH e AS (SELECT id, type, {_NORM.format("name")} AS n FROM ents), dg AS (SELECT id, count(*) AS degree, bool_or(type = 'LOCATED_IN') AS located, bool_or(type IN ('WORKS_FOR', 'MEMBER_OF')) AS affiliated FROM {INC} GROUP BY 1),
-hit AS (SELECT name AS n, min(entry) AS entry FROM (SELECT *, max(score) OVER (PARTITION BY name) AS m FROM {_SCREEN} WHERE score >= .85) WHERE score = m GROUP BY 1), dup AS (SELECT type, n, count(*) AS bearers FROM e WHERE n <> '' GROUP BY 1, 2 HAVING count(*) > 1),
+hit AS (SELECT id, min(entry) AS entry FROM (SELECT *, max(score) OVER (PARTITION BY id) AS m FROM {_SCREEN} WHERE score >= .85) WHERE score = m GROUP BY 1), dup AS (SELECT type, n, count(*) AS bearers FROM e WHERE n <> '' GROUP BY 1, 2 HAVING count(*) > 1),
 ct AS (SELECT entity_id AS id, bool_or(verification_status = 'verified' AND stance = 'contradicts') AS bad FROM evidence GROUP BY 1)
 SELECT e.id, 'connectivity' AS kind, 'info' AS severity, coalesce(degree, 0) || ' direct relationships' AS detail FROM e LEFT JOIN dg USING (id)
-UNION ALL SELECT id, 'watchlist', 'high', 'matches ' || entry FROM e JOIN hit USING (n) WHERE type = 'asset'
+UNION ALL SELECT id, 'watchlist', 'high', 'matches ' || entry FROM e JOIN hit USING (id)
 UNION ALL SELECT id, 'duplicate', 'medium', bearers || ' entities bear this name' FROM e JOIN dup USING (type, n)
 UNION ALL SELECT id, 'contradiction', 'high', 'verified evidence contradicts' FROM e JOIN ct USING (id) WHERE bad
 UNION ALL SELECT e.id, 'gap', 'info', 'no location' FROM e LEFT JOIN dg USING (id) WHERE type = 'person' AND NOT coalesce(located, false)
 UNION ALL SELECT e.id, 'gap', 'info', 'no affiliation' FROM e LEFT JOIN dg USING (id) WHERE type = 'person' AND NOT coalesce(affiliated, false)
 UNION ALL SELECT e.id, 'gap', 'info', 'no evidence' FROM e LEFT JOIN ct USING (id) WHERE ct.id IS NULL""")
 def inv_findings(fx):
-    hits = identity.screen(fx.ents.where("type = 'asset'"), fx.watch, 0.85)
-    return identity.findings(fx.ents, fx.rels, fx.evidence, hits, fx.ents.where("type = 'asset'").select("id"))
+    return identity.findings(fx.ents, fx.rels, fx.evidence, identity.screen(fx.ents, fx.watch, 0.85, fx.aliases))
 
 
 @query(f"""

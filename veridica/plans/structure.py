@@ -112,13 +112,12 @@ def g_brokers(fx):
 @query(f"""{_BTW}, {_CC}, {_ANOMALIES}
 SELECT DISTINCT entity_id AS id, 'contradiction' AS kind, 'high' AS severity, CAST(1 AS DOUBLE) AS score FROM evidence WHERE verification_status = 'verified' AND stance = 'contradicts'
 UNION ALL SELECT id, kind, CASE WHEN kind = 'isolate' THEN 'low' ELSE 'medium' END, score FROM best
-UNION ALL SELECT id, 'watchlist', 'high', score FROM (SELECT id, {_NORM.format("name")} AS name FROM ents WHERE type = 'asset') JOIN (SELECT name, max(score) AS score FROM {_SCREEN} WHERE score >= .9 GROUP BY 1) USING (name)""")
+UNION ALL SELECT id, 'watchlist', 'high', max(score) FROM {_SCREEN} WHERE score >= .9 GROUP BY 1""")
 def alr_feed(fx):
     one = F.lit(1.0).alias("score")
     bad = fx.evidence.where("verification_status = 'verified' and stance = 'contradicts'").select(F.col("entity_id").alias("id")).distinct().select("id", F.lit("contradiction").alias("kind"), F.lit("high").alias("severity"), one)
     odd = graph.anomalies(edges(fx), between(fx), everyone=assets(fx)).select("id", "kind", F.when(F.col("kind") == "isolate", "low").otherwise("medium").alias("severity"), "score")
-    names = identity.screen(fx.ents.where("type = 'asset'"), fx.watch).where("score >= 0.9").groupBy(F.col("name").alias("n")).agg(F.max("score").alias("score"))
-    hit = fx.ents.where("type = 'asset'").select("id", identity.normalized(F.col("name")).alias("n")).join(names, "n").select("id", F.lit("watchlist").alias("kind"), F.lit("high").alias("severity"), "score")
+    hit = identity.screen(fx.ents, fx.watch, 0.9, fx.aliases).groupBy("id").agg(F.max("score").alias("top")).select("id", F.lit("watchlist").alias("kind"), F.lit("high").alias("severity"), F.col("top").alias("score"))
     return bad.unionByName(odd).unionByName(hit)
 
 
