@@ -299,14 +299,21 @@ def x_media_flag(fx):
 # corpora
 
 
-@query("SELECT page_id AS feed_id, CAST(no AS INT) AS no, 'Item ' || no || ' of ' || page_id AS title, url AS summary, 'http://x/' || page_id || '/' || no AS link FROM (SELECT page_id, replace(replace(url, '&', ' '), '<', ' ') AS url FROM pages) CROSS JOIN range(0, 3) r(no)")
+@query("""
+SELECT page_id AS feed_id, CAST(no AS INT) AS no, 'Item ' || no || ' of ' || page_id AS title, CASE WHEN (page_id + no) % 3 = 0 THEN '' ELSE url END AS summary, CASE WHEN (page_id + no) % 4 = 1 THEN '' ELSE 'http://x/' || page_id || '/' || no END AS link, CASE WHEN (page_id + no) % 5 > 0 THEN 'day ' || no END AS published, false AS rejected
+FROM (SELECT page_id, trim(replace(replace(url, '&', ' '), '<', ' ')) AS url FROM pages WHERE page_id % 13 > 0) CROSS JOIN range(0, 3) r(no) UNION ALL SELECT page_id, NULL, NULL, NULL, NULL, NULL, true FROM pages WHERE page_id % 13 = 0""")
 def src_feed(fx):
-    """Feeds of three items, RSS and Atom in turn, made from the pages."""
+    """Feeds of three items, RSS and Atom in turn, made from the pages; fields are missing, and some feeds end too early."""
     url = F.translate("url", "&<", "  ")
-    item = lambda no: F.concat(F.lit(f"<item><title>Item {no} of "), "page_id", F.lit("</title><description>"), url, F.lit("</description><link>http://x/"), "page_id", F.lit(f"/{no}</link></item>"))
-    entry = lambda no: F.concat(F.lit(f"<entry><title>Item {no} of "), "page_id", F.lit("</title><summary>"), url, F.lit('</summary><link href="http://x/'), "page_id", F.lit(f'/{no}"/></entry>'))
-    rss = F.concat(F.lit("<rss><channel>"), *[item(n) for n in range(3)], F.lit("</channel></rss>"))
-    atom = F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom">'), *[entry(n) for n in range(3)], F.lit("</feed>"))
+    unless = lambda no, rest, of, text: F.when((F.col("page_id") + no) % of == rest, "").otherwise(text)
+    title = lambda no: F.concat(F.lit(f"<title>Item {no} of "), "page_id", F.lit("</title>"))
+    body = lambda no, tag: unless(no, 0, 3, F.concat(F.lit(f"<{tag}>"), url, F.lit(f"</{tag}>")))
+    day = lambda no, tag: unless(no, 0, 5, F.lit(f"<{tag}> day {no}</{tag}>"))
+    item = lambda no: F.concat(F.lit("<item>"), title(no), body(no, "description"), unless(no, 1, 4, F.concat(F.lit("<link>http://x/"), "page_id", F.lit(f"/{no}</link>"))), day(no, "pubDate"), F.lit("</item>"))
+    entry = lambda no: F.concat(F.lit("<entry>"), title(no), body(no, "summary" if no else "content"), unless(no, 1, 4, F.concat(F.lit('<link href="http://x/'), "page_id", F.lit(f'/{no}"/>'))), day(no, "updated"), F.lit("</entry>"))
+    end = lambda text: F.when(F.col("page_id") % 13 > 0, text).otherwise("")
+    rss = F.concat(F.lit("<rss><channel>"), *[item(n) for n in range(3)], end("</channel></rss>"))
+    atom = F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom">'), *[entry(n) for n in range(3)], end("</feed>"))
     return corpus.feed_items(fx.pages.select(F.col("page_id").alias("feed_id"), F.when(F.col("page_id") % 2 == 0, rss).otherwise(atom).alias("xml")))
 
 
@@ -318,11 +325,22 @@ def src_email(fx):
     return corpus.mail_edges(fx.comms.select((F.col("conv_id") * 1000 + F.col("turn")).alias("mail_id"), raw.alias("raw")))
 
 
-@query("SELECT c_custkey AS id, c_name || ', ' || c_mktsegment || chr(10) || c_nationkey || ', ' || c_acctbal AS text FROM customer")
+@query("""
+SELECT filename, kind, text, length(text)::BIGINT AS char_count, rejected FROM (SELECT c_custkey || CASE c_custkey % 5 WHEN 0 THEN '.csv' WHEN 1 THEN '.JSON' WHEN 2 THEN '.txt' WHEN 3 THEN '.xls' ELSE '.json' END AS filename,
+  CASE c_custkey % 5 WHEN 0 THEN 'csv' WHEN 1 THEN 'json' WHEN 2 THEN 'txt' WHEN 4 THEN 'json' END AS kind,
+  CASE c_custkey % 5 WHEN 0 THEN c_name || ', inc, ' || c_mktsegment || chr(10) || 'say "' || c_nationkey || '", two' || chr(10) || 'lines' WHEN 1 THEN 'name: ' || c_name || chr(10) || 'segment: ' || c_mktsegment || chr(10) || c_nationkey || chr(10) || 'deep: True' || chr(10) || 'last: None' WHEN 2 THEN c_name || ',  ' || c_mktsegment END AS text,
+  CASE c_custkey % 5 WHEN 3 THEN 'unsupported document' WHEN 4 THEN 'unreadable: JSONDecodeError' END AS rejected FROM customer)""")
 def src_text_files(fx):
-    """A comma-separated text for each customer, with blank lines and cells."""
-    raw = F.concat(F.lit(" "), "c_name", F.lit(" ,"), "c_mktsegment", F.lit("\n , \n\n"), "c_nationkey", F.lit(",  "), "c_acctbal")
-    return fx.customer.select(F.col("c_custkey").alias("id"), corpus.csv_text(raw).alias("text"))
+    """A file for each customer: CSV with quotes and empty rows, nested JSON, text, an unknown kind, broken JSON."""
+    made = F.element_at(F.array(
+        F.concat(F.lit('"'), "c_name", F.lit(', inc" ,'), "c_mktsegment", F.lit('\r\n\n"say ""'), "c_nationkey", F.lit('""","two\nlines"\n')),
+        F.concat(F.lit('{"name":"'), "c_name", F.lit('","more":{"segment":"'), "c_mktsegment", F.lit('","list":['), "c_nationkey", F.lit(',[{"deep":true}],[]]},"last":null}')),
+        F.concat(F.lit("\n "), "c_name", F.lit(",  "), "c_mktsegment", F.lit(" ")),
+        F.lit("x"),
+        F.lit('{"name":'),
+    ), (F.col("c_custkey") % 5 + 1).cast("int"))
+    ending = F.element_at(F.array(*[F.lit(x) for x in (".csv", ".JSON", ".txt", ".xls", ".json")]), (F.col("c_custkey") % 5 + 1).cast("int"))
+    return corpus.parse_documents(fx.customer.select(F.concat("c_custkey", ending).alias("filename"), made.alias("content")))
 
 
 @query("SELECT label, count(*) AS n, min(id) AS first, max(id) AS last FROM (SELECT upper(type[1]) || type[2:] AS label, id FROM ents UNION ALL SELECT type, id FROM rels) GROUP BY 1")
