@@ -33,12 +33,6 @@ def neighbors(rels: DataFrame, ents: DataFrame, limit: int) -> DataFrame:
     return ranked.where(F.col("rank") <= limit).join(far, "other").select("id", "rel_id", "other", "other_name", "other_type", "outgoing")
 
 
-def as_of(rels: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """Edges visible at each cutoff: undated ones always, dated ones from their start; ended: past the end."""
-    undated = F.col("start_date").isNull()
-    return rels.join(F.broadcast(cutoffs), undated | (F.col("start_date") <= F.col("cutoff"))).groupBy("cutoff").agg(F.count("*").alias("visible"), F.count_if(F.col("end_date") < F.col("cutoff")).alias("ended"))
-
-
 def connections_by_type(rels: DataFrame) -> DataFrame:
     return incident(rels).groupBy("id", "type").agg(F.count("*").alias("n"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from veridica.functions import text
 from veridica.operators import entities as en
 from veridica.operators import evidence as ev
-from veridica.operators import geo, governance, graph, identity, vectors
+from veridica.operators import geo, governance, graph, identity, sweep, vectors
 from veridica.operators.frames import settle
 from veridica.plans.fixture import Fixture, ctes, load
 from veridica.sources import corpus
@@ -169,7 +169,7 @@ WITH c AS (SELECT DATE '1992-01-01' + CAST(45 * i AS INT) AS cutoff FROM range(6
 SELECT cutoff, count(*) AS visible, count(*) FILTER (WHERE end_date < cutoff) AS ended FROM rels JOIN c ON start_date IS NULL OR start_date <= cutoff GROUP BY 1""")
 def flt_as_of(fx):
     cutoffs = fx.spark.range(60).select((F.lit("1992-01-01").cast("date") + (F.col("id") * 45).cast("int")).alias("cutoff"))
-    return en.as_of(fx.rels, cutoffs)
+    return sweep.as_of(fx.rels, cutoffs)
 
 
 @query("SELECT id, name FROM watch ORDER BY name, id LIMIT 20 OFFSET 2")
