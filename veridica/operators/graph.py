@@ -443,35 +443,65 @@ def best_paths(edges: DataFrame, source: str, kind: str) -> DataFrame:
             return now.select("id", "score", (F.size("path") - 1).alias("hops"), "path")
 
 
+def _deviations(links: DataFrame, searches: list[tuple[int, list[str], list[str]]], target: str, limit: int | None) -> dict[int, list[str]]:
+    """The shortest path of each search, the least by ids of those; searches without one are left out.
+
+    links: u, v and left, the hops from v to the target. A search (number, root, banned) begins at the end of its root, does not enter
+    it again and goes to none of `banned` first. All searches advance together, a job per hop; as edges go both ways, a node met
+    again can only be of the last two hops. Paths longer than the limit are not followed.
+    """
+    spark = links.sparkSession
+    plan = F.broadcast(spark.createDataFrame(searches, "no int, root array<string>, banned array<string>"))
+    front = settle(plan.select("no", F.element_at("root", -1).alias("id"), F.col("root").alias("path")))
+    before, first, found = None, True, {}
+    while front.take(1):
+        step = front.withColumnRenamed("id", "u").join(links, "u").join(plan, "no").where(~F.array_contains("root", F.col("v")))
+        if first:
+            step = step.where(~F.array_contains("banned", F.col("v")))
+        if limit is not None:
+            step = step.where(F.size("path") + F.col("left") <= limit)
+        # a separator after every id keeps the order of paths when both go on to the same node
+        key = F.concat(F.array_join("path", ">"), F.lit(">"))
+        new = step.groupBy("no", F.col("v").alias("id")).agg(F.min_by("path", key).alias("path")).join(front.select("no", "id"), ["no", "id"], "left_anti")
+        new = new if before is None else new.join(before.select("no", "id"), ["no", "id"], "left_anti")
+        new = settle(new.select("no", "id", F.concat("path", F.array("id")).alias("path")))
+        found |= {r.no: r.path for r in new.where(F.col("id") == target).collect()}  # a path a search
+        if before is not None:
+            drop(before)
+        before, front, first = front, new.where(~F.col("no").isin(list(found))), False
+    return found
+
+
 def shortest_paths(edges: DataFrame, source: str, target: str, k: int, max_length: int | None = None) -> DataFrame:
     """The k shortest simple paths by hops, ties in order of their ids.
 
-    The length allowed starts at the distance and grows until k paths are found or no path is cut
-    by it; partial paths that cannot reach the target in time are cut.
+    Every path after the first leaves an earlier one at some node. A path that is taken splits what is left by where it is
+    left, and the shortest of each part is a candidate for the next one. The parts of a path are searched
+    together, so that the jobs grow with k times the hops, and nothing is enumerated or searched again. Paths and candidates
+    (at most k times the hops of a path) are kept by the driver.
     """
     spark = edges.sparkSession
-    back = levels(edges, spark.createDataFrame([(target,)], "seed string"), max_length).select("id", F.col("dist").alias("left"))
-    links = settle(both(edges).select("u", "v").join(back.withColumnRenamed("id", "v"), "v"))
-    start = settle(nodes(edges).where(F.col("id") == source).select(F.array("id").alias("path")))
-    out = start.where(F.element_at("path", -1) == target)
-    nearest = back.where(F.col("id") == source).first()
-    allowed = nearest.left if nearest else 0
-    cut = nearest is not None and out.count() < k
-    while cut and (max_length is None or allowed <= max_length):
-        now, cut = start, False
-        out = start.where(F.element_at("path", -1) == target)
-        for length in range(1, allowed + 1):
-            step = now.where(F.element_at("path", -1) != target).select("path", F.element_at("path", -1).alias("u")).join(links, "u").where(~F.array_contains("path", F.col("v")))
-            step = settle(step.select(F.concat("path", F.array("v")).alias("path"), (F.col("left") + length > allowed).alias("late")))
-            cut = cut or bool(step.where("late").take(1))
-            now = step.where("not late").select("path")
-            out = out.unionByName(now.where(F.element_at("path", -1) == target))
-            if not now.take(1):
-                break
-        if out.count() >= k:
+    left = levels(edges, spark.createDataFrame([(target,)], "seed string")).select(F.col("id").alias("v"), F.col("dist").alias("left"))
+    links = settle(both(edges).select("u", "v").join(left, "v"))
+    paths: list[list[str]] = []
+    if source == target:
+        paths = [[source]] if nodes(edges).where(F.col("id") == source).take(1) else []
+        candidates: dict[tuple[str, ...], int] = {}
+    else:
+        candidates = {tuple(p): 0 for p in _deviations(links, [(0, [source], [])], target, max_length).values()}
+    order = lambda p: (len(p), ">".join(p))
+    while candidates:
+        path = min(candidates, key=order)
+        leaves = candidates.pop(path)
+        paths.append(list(path))
+        if len(paths) == k:
             break
-        allowed += 1
-    return out.select((F.size("path") - 1).alias("hops"), F.array_join("path", ">").alias("path")).orderBy("hops", "path").limit(k)
+        need = k - len(paths)
+        limit = sorted(len(p) - 1 for p in candidates)[need - 1] if len(candidates) >= need else max_length
+        searches = [(i, list(path[: i + 1]), sorted({p[i + 1] for p in paths if len(p) > i + 1 and p[: i + 1] == list(path[: i + 1])})) for i in range(leaves, len(path) - 1)]
+        for i, found in _deviations(links, searches, target, limit).items():
+            candidates[tuple(found)] = i
+    return spark.createDataFrame([(len(p) - 1, ">".join(p)) for p in paths], "hops int, path string")
 
 
 def assemble(paths: DataFrame, edges: DataFrame, kind: str) -> DataFrame:
