@@ -8,6 +8,8 @@ state as DataFrames, written to the shared folder each round; only scalars reach
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -100,20 +102,28 @@ def levels(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) ->
     """Breadth-first levels from many seeds at once: (seed, id, dist, paths), paths the number of shortest ones."""
     links = settle(both(edges).select("u", "v"))
     front = seeds.groupBy("seed").agg(F.max("seed").alias("id")).select("seed", "id", F.lit(0).alias("dist"), F.lit(1.0).alias("paths"))
-    seen = settle(front)
-    front, depth = seen, 0
+    front, before, depth = settle(front), None, 0
+    seen = [front]
     while max_depth is None or depth < max_depth:
         depth += 1
         step = front.join(links.withColumnRenamed("u", "id"), "id").groupBy("seed", F.col("v").alias("id")).agg(F.lit(depth).alias("dist"), F.sum("paths").alias("paths"))
-        front = settle(step.join(seen.select("seed", "id"), ["seed", "id"], "left_anti"))
+        # edges go both ways: what is met again is of the last two levels
+        for level in (front, before):
+            step = step if level is None else step.join(level.select("seed", "id"), ["seed", "id"], "left_anti")
+        before, front = front, settle(step)
         if not front.take(1):
             break
-        seen = seen.unionByName(front)
-    return settle(seen)
+        seen.append(front)
+    out = seen[0]
+    for level in seen[1:]:
+        out = out.unionByName(level)
+    out = settle(out)
+    drop(*seen)
+    return out
 
 
 def _dependencies(links: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(id, delta): what the shortest paths from the seeds put on each node, level by level from the farthest."""
+    """(id, delta, squares): what the shortest paths from the seeds put on each node, and its square, level by level from the farthest."""
     reach = levels(edges, seeds)
     depth = reach.agg(F.coalesce(F.max("dist"), F.lit(0))).first()[0]
     far = reach.select("seed", F.col("id").alias("v"), F.col("dist").alias("v_dist"), F.col("paths").alias("v_paths"))
@@ -127,7 +137,7 @@ def _dependencies(links: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataF
     every = total[0]
     for more in total[1:]:
         every = every.unionByName(more)
-    out = settle(every.where("id <> seed").groupBy("id").agg(F.sum("delta").alias("delta")))
+    out = settle(every.where("id <> seed").groupBy("id").agg(F.sum("delta").alias("delta"), F.sum(F.col("delta") * F.col("delta")).alias("squares")))
     drop(reach, step, *total)
     return out
 
@@ -154,6 +164,42 @@ def betweenness(edges: DataFrame, pivots: int | None = None, block: int = 4096)
     return settle(ids.join(sums.groupBy("id").agg(F.sum("delta").alias("b")), "id", "left").select("id", (F.coalesce("b", F.lit(0.0)) * scale).alias("score")))
 
 
+def sampled_betweenness(edges: DataFrame, epsilon: float = 0.01, failure: float = 0.1, first: int = 256, block: int = 4096) -> DataFrame:
+    """(id, score, bound): normalised betweenness from so many sources that every node is within epsilon, but for a chance of `failure`.
+
+    What a source puts on a node, over the other nodes, lies between 0 and 1 and has the node's score as its mean, so that the
+    empirical Bernstein inequality bounds the error by the variance seen so far. Sources come in the order of a hash, twice as
+    many after each round, until the largest bound is at most epsilon; the chance of failure is shared out over nodes and
+    rounds. If the sources run out, the result is exact and the bound 0.
+    """
+    ids = settle(nodes(edges))
+    n = ids.count()
+    if n <= 2:
+        return ids.select("id", F.lit(0.0).alias("score"), F.lit(0.0).alias("bound"))
+    links = settle(both(edges).select("u", "v"))
+    share = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 40)) / float(1 << 40)
+    placed = settle(ids.select(F.col("id").alias("seed"), share.alias("at")))
+    rounds = max(1, math.ceil(math.log2(max(2.0, n / first))) + 1)
+    chance = math.log(3 * n * rounds / failure)
+    sums, taken, low, high = None, 0, 0.0, min(1.0, first / n)
+    while True:
+        some = placed.where((F.col("at") >= low) & (F.col("at") < high))
+        parts = max(1, -(-some.count() // block))
+        for part in range(parts):
+            got = _dependencies(links, edges, some.where(F.pmod(F.xxhash64("seed"), F.lit(parts)) == part).select("seed"))
+            sums = got if sums is None else settle(sums.unionByName(got).groupBy("id").agg(F.sum("delta").alias("delta"), F.sum("squares").alias("squares")))
+        taken = placed.where(F.col("at") < high).count()
+        m, to_score = float(max(1, taken)), n / ((n - 1.0) * (n - 2.0))
+        mean, power = F.coalesce("delta", F.lit(0.0)) / m, F.coalesce("squares", F.lit(0.0)) / m
+        variance = F.greatest(power - mean * mean, F.lit(0.0)) * to_score * to_score
+        # a source other than the node puts at most n - 2 on it, so that a summand is at most n / (n - 1)
+        bound = F.lit(0.0) if taken >= n else F.sqrt(2 * variance * chance / m) + 3 * chance * n / (n - 1.0) / m
+        scored = settle(ids.join(sums, "id", "left").select("id", (mean * to_score).alias("score"), bound.alias("bound")))
+        if taken >= n or scored.agg(F.max("bound")).first()[0] <= epsilon:
+            return scored
+        low, high = high, min(1.0, high * 2)
+
+
 def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(id, component): least id reached.
 
