@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from veridica.functions import text
 from veridica.operators import entities as en
 from veridica.operators import evidence as ev
-from veridica.operators import geo, governance, graph, identity, sweep, vectors
+from veridica.operators import geo, governance, graph, identity, merging, sweep, vectors
 from veridica.operators.frames import settle
 from veridica.plans.fixture import Fixture, ctes, load
 from veridica.sources import corpus
@@ -323,18 +323,68 @@ def er_similarity(fx):
     return identity.shared_names(fx.ents)
 
 
-_PAIRS = "(SELECT id AS merged, 'P' || (k - k % 2) AS kept FROM ents WHERE type = 'asset' AND k % 2 = 1)"
+#: A merged state as rows; {to} is the entity that an entity of number k becomes.
+_MERGED = """
+WITH t AS (SELECT id, name, CASE WHEN type = 'asset' AND {merged} THEN 'P' || (k - k % 4) ELSE id END AS kept FROM ents),
+p AS (SELECT id, 'classification' AS key, classification AS value FROM ents WHERE k % 3 = 0 UNION ALL SELECT id, 'compartment', compartment FROM ents WHERE compartment IS NOT NULL),
+al AS (SELECT kept AS id, alias FROM aliases JOIN t USING (id) UNION SELECT kept, name FROM t WHERE id <> kept)
+SELECT 'entity' AS section, id AS key, name AS value FROM t WHERE id = kept
+UNION ALL SELECT 'alias', al.id, alias FROM al JOIN t ON t.id = al.id WHERE alias <> name
+UNION ALL SELECT 'property', kept, arg_min(p.key || '=' || value, CASE WHEN id = kept THEN '' ELSE id END) FROM p JOIN t USING (id) GROUP BY kept, p.key
+UNION ALL SELECT 'relationship', r.id, s.kept || '>' || d.kept FROM rels r JOIN t s ON s.id = r.source_id JOIN t d ON d.id = r.target_id WHERE s.kept <> d.kept OR r.source_id = r.target_id
+UNION ALL SELECT 'evidence', kept, count(*)::VARCHAR FROM evidence JOIN t ON t.id = entity_id GROUP BY kept
+UNION ALL SELECT 'annotation', annotation_id::VARCHAR, coalesce(kept, entity_id) FROM annotations LEFT JOIN t ON t.id = entity_id"""
+
+
+def merge_state(fx) -> dict[str, DataFrame]:
+    pair = lambda name, value: F.when(value.isNotNull(), F.struct(F.lit(name).alias("key"), value.alias("value")))
+    held = F.array_compact(F.array(pair("classification", F.when(F.col("k") % 3 == 0, F.col("classification"))), pair("compartment", F.col("compartment"))))
+    return {
+        "entities": fx.ents.select("id", "type", "name"),
+        "aliases": fx.aliases,
+        "properties": fx.ents.select("id", F.explode(held).alias("p")).select("id", "p.*"),
+        "relationships": fx.rels.select("id", "source_id", "target_id"),
+        "evidence": settle(fx.evidence.select("entity_id").withColumn("evidence_id", F.monotonically_increasing_id())),
+        "annotations": fx.annotations.select("annotation_id", "entity_id"),
+    }
+
+
+def merge_pairs(fx) -> DataFrame:
+    """Chains of three assets into a fourth, and pairs that are refused."""
+    k = F.col("k")
+    chains = fx.ents.where("type = 'asset' and k % 4 > 0").select(F.concat(F.lit("P"), F.when(k % 4 == 3, k - 1).otherwise(k - k % 2 - F.when(k % 4 == 2, 2).otherwise(0))).alias("kept"), F.col("id").alias("merged"))
+    wrong = fx.ents.where("type = 'person' and k % 50 = 1").select(F.concat(F.lit("P"), "k").alias("kept"), F.col("id").alias("merged"))
+    return chains.unionByName(wrong).unionByName(wrong.select("merged", F.concat(F.lit("X"), "merged")).toDF("kept", "merged")).unionByName(wrong.select("merged", "merged").toDF("kept", "merged"))
+
+
+def merged_rows(state: dict[str, DataFrame]) -> DataFrame:
+    line = lambda section, df, key, value: df.select(F.lit(section).alias("section"), F.col(key).cast("string").alias("key"), value.cast("string").alias("value"))
+    parts = [
+        line("entity", state["entities"], "id", F.col("name")), line("property", state["properties"], "id", F.concat_ws("=", "key", "value")),
+        line("alias", state["aliases"].join(state["entities"].select("id", "name"), "id").where("alias <> name"), "id", F.col("alias")),
+        line("relationship", state["relationships"], "id", F.concat_ws(">", "source_id", "target_id")),
+        line("evidence", state["evidence"].groupBy("entity_id").agg(F.count("*").alias("n")), "entity_id", F.col("n")), line("annotation", state["annotations"], "annotation_id", F.col("entity_id")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
-@query(f"""
-SELECT id, type, source_id, target_id FROM (SELECT r.id, r.type, r.source_id AS s0, r.target_id AS t0, coalesce(p.kept, r.source_id) AS source_id, coalesce(q.kept, r.target_id) AS target_id FROM rels r LEFT JOIN {_PAIRS} p ON p.merged = r.source_id LEFT JOIN {_PAIRS} q ON q.merged = r.target_id) WHERE NOT (source_id = target_id AND s0 <> t0)""")
+@query(_MERGED.format(merged="true"))
 def er_merge(fx):
-    return identity.merge(fx.rels, fx.ents.where("type = 'asset' and k % 2 = 1").selectExpr("id as merged", "'P' || (k - k % 2) as kept"))[0]
+    return merged_rows(merging.merge(merge_state(fx), merge_pairs(fx))[0])
 
 
-@query("SELECT id, type, source_id, target_id FROM rels")
+@query(_MERGED.format(merged="k % 8 >= 4") + """
+UNION ALL SELECT 'refused', 'P' || p_partkey, 'undone already' FROM part WHERE p_partkey % 8 IN (1, 2, 3)""")
 def er_unmerge(fx):
-    return identity.unmerge(*identity.merge(fx.rels, fx.ents.where("type = 'asset' and k % 2 = 1").selectExpr("id as merged", "'P' || (k - k % 2) as kept")))
+    """Every other group undone one by one, and what a second undo is told."""
+    state, log, _ = merging.merge(merge_state(fx), merge_pairs(fx))
+    which = fx.ents.where("type = 'asset' and k % 8 in (1, 2, 3)").select(F.col("id").alias("merged"))
+    state, log, _ = merging.undo(state, log, which)
+    again = merging.undo(state, log, which)[2]
+    return merged_rows(state).unionByName(again.select(F.lit("refused").alias("section"), F.col("merged").alias("key"), F.lit("undone already").alias("value")))
 
 
 _SCREEN = f"""(SELECT id, type, entry, arg_max(score, p) AS score, arg_max(reason, p) AS reason FROM (
