@@ -284,39 +284,63 @@ def modularity(edges: DataFrame, partition: DataFrame) -> DataFrame:
     return deg.join(inner, "c", "left").crossJoin(F.broadcast(m)).agg(F.round(F.coalesce(F.sum(F.coalesce("inside", F.lit(0.0)) / F.col("m") - F.pow(F.col("tot") / (2 * F.col("m")), 2)), F.lit(0.0)), 6).alias("q"))
 
 
-def communities(edges: DataFrame, sweeps: int = 8, passes: int = 4) -> DataFrame:
-    """(id, c): synchronous Louvain. In each sweep half of the nodes (by hash) move to the neighbouring
-    community of largest gain; then communities become nodes and the sweeps repeat."""
+def _moves(own: DataFrame, links: DataFrame, m: float) -> DataFrame:
+    """(id, c, to, gain): the best move of each node that gains modularity. own: id, c, k, its weight; gains are in units of 1 / m."""
+    tot = own.groupBy("c").agg(F.sum("k").alias("tot")).withColumnRenamed("c", "to")
+    w_in = links.where("u <> v").join(own.select(F.col("id").alias("v"), F.col("c").alias("to")), "v").groupBy(F.col("u").alias("id"), "to").agg(F.sum("w").alias("w_in"))
+    stay = own.select("id", F.col("c").alias("to"), F.lit(0.0).alias("w_in"))
+    options = w_in.unionByName(stay).groupBy("id", "to").agg(F.sum("w_in").alias("w_in")).join(own, "id").join(tot, "to")
+    rest = F.col("tot") - F.when(F.col("to") == F.col("c"), F.col("k")).otherwise(0.0)
+    rated = options.select("id", "c", "to", F.round(F.col("w_in") - F.col("k") * rest / (2 * m), 9).alias("g"))
+    best = rated.groupBy("id", "c").agg(F.max_by("to", F.struct("g", F.xxhash64("to").alias("h"))).alias("to"), F.max("g").alias("g"), F.max(F.when(F.col("to") == F.col("c"), F.col("g"))).alias("now"))
+    return best.where("to <> c and g > now + 1e-9").select("id", "c", "to", (F.col("g") - F.col("now")).alias("gain"))
+
+
+def _quality(own: DataFrame, links: DataFrame, m: float) -> float:
+    inner = links.join(own.select(F.col("id").alias("u"), F.col("c").alias("cu")), "u").join(own.select(F.col("id").alias("v"), F.col("c").alias("cv")), "v").where("cu = cv").agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("inner"))
+    outer = own.groupBy("c").agg(F.sum("k").alias("tot")).agg(F.sum(F.pow(F.col("tot") / (2 * m), 2)).alias("outer"))
+    return inner.crossJoin(outer).select(F.col("inner") / (2 * m) - F.col("outer")).first()[0]
+
+
+def communities(edges: DataFrame) -> DataFrame:
+    """(id, c): Louvain, until no move of a node or of a community gains modularity.
+
+    In a round, half of the nodes (by hash) make their best moves at once. As each was rated without the others, the round counts only if
+    modularity, computed anew, has grown; otherwise only those moves are made that are the best ones of both
+    communities they touch, whose gains add up exactly. So modularity grows with every round, and the rounds end. Then
+    communities become nodes.
+    """
     m = edges.agg(F.sum("w")).first()[0] or 0.0
     part = settle(nodes(edges).withColumn("c", F.col("id")))
     if m <= 0:
         return part
-    links = both(edges)
-    for _ in range(passes):
-        k = settle(links.groupBy("u").agg(F.sum("w").alias("k")))
-        own = settle(k.select(F.col("u").alias("id"), F.col("u").alias("c"), "k"))
-        moved_any = False
-        for sweep in range(sweeps):
-            tot = own.groupBy("c").agg(F.sum("k").alias("tot"))
-            w_in = links.where("u <> v").join(own.select(F.col("id").alias("v"), F.col("c").alias("to")), "v").groupBy(F.col("u").alias("id"), "to").agg(F.sum("w").alias("w_in"))
-            stay = own.select("id", F.col("c").alias("to"), F.lit(0.0).alias("w_in"))
-            options = w_in.unionByName(stay).groupBy("id", "to").agg(F.sum("w_in").alias("w_in")).join(own, "id").join(tot.withColumnRenamed("c", "to"), "to")
-            rest = F.col("tot") - F.when(F.col("to") == F.col("c"), F.col("k")).otherwise(0.0)
-            gain = F.round(F.col("w_in") - F.col("k") * rest / (2 * m), 9)
-            best = options.groupBy("id").agg(F.max_by("to", F.struct(gain.alias("g"), (F.col("to") == F.col("c")).alias("same"), F.xxhash64("to").alias("h"))).alias("best"))
-            turn = F.pmod(F.xxhash64("id", F.lit(sweep)), F.lit(2)) == 0
-            new = settle(own.join(best, "id").select("id", F.when(turn, F.col("best")).otherwise(F.col("c")).alias("n"), "c", "k"))
-            changed = new.where("n <> c").count()
-            own = new.select("id", F.col("n").alias("c"), "k")
-            moved_any |= changed > 0
-            if not changed and sweep % 2:
+    links = settle(both(edges))
+    while True:
+        own = settle(links.groupBy(F.col("u").alias("id")).agg(F.sum("w").alias("k")).select("id", F.col("id").alias("c"), "k"))
+        quality, turn = _quality(own, links, m), 0
+        while True:
+            moves = settle(_moves(own, links, m))
+            if moves.isEmpty():
                 break
-        part = settle(part.join(own.select(F.col("id").alias("c"), F.col("c").alias("n")), "c").select("id", F.col("n").alias("c")))
-        if not moved_any:
-            break
+            made = lambda some, own=own: settle(own.join(some.select("id", "to"), "id", "left").select("id", F.coalesce("to", "c").alias("c"), "k"))
+            new = made(moves.where(F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2)) == 0))
+            grown = _quality(new, links, m)
+            if grown <= quality + 1e-12:
+                drop(new)
+                order = F.struct("gain", F.xxhash64("id").alias("h"), "id")
+                touched = moves.select("id", "gain", F.explode(F.array("c", "to")).alias("c")).groupBy("c").agg(F.max(order)["id"].alias("id"))
+                new = made(moves.join(touched.groupBy("id").agg(F.count("*").alias("n")).where("n = 2"), "id"))
+                grown = _quality(new, links, m)
+            drop(own, moves)
+            own, quality, turn = new, grown, turn + 1
+        if not turn:
+            return part
         name = own.select("id", "c")
-        links = settle(links.join(name.select(F.col("id").alias("u"), F.col("c").alias("cu")), "u").join(name.select(F.col("id").alias("v"), F.col("c").alias("cv")), "v").groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w")))
-    return part
+        joined = part.withColumnRenamed("c", "at").join(name.select(F.col("id").alias("at"), "c"), "at").select("id", "c")
+        merged = links.join(name.select(F.col("id").alias("u"), F.col("c").alias("cu")), "u").join(name.select(F.col("id").alias("v"), F.col("c").alias("cv")), "v").groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w"))
+        new_part, new_links = settle(joined), settle(merged)
+        drop(part, links, own)
+        part, links = new_part, new_links
 
 
 def cells(edges: DataFrame, partition: DataFrame, min_size: int = 3) -> DataFrame:
