@@ -216,7 +216,9 @@ def test_sources_and_text(spark, tmp_path):
     (tmp_path / "b.csv").write_text("a , b\n,\nc,d")
     (tmp_path / "c.json").write_text('{"k": "v", "n": 1}')
     (tmp_path / "d.exe").write_text("no")
-    assert sorted(r.text for r in corpus.text_files(spark, str(tmp_path)).collect()) == ["a, b\nc, d", "k: v\nn: 1", "plain"]
+    files = corpus.text_files(spark, str(tmp_path)).collect()
+    assert sorted(r.text for r in files if not r.rejected) == ["a, b\nc, d", "k: v\nn: 1", "plain"]
+    assert [r.filename.rsplit(".", 1)[1] for r in files if r.rejected] == ["exe"]
     docs = spark.createDataFrame([(1, "Mail A@b.org and a@B.org, 10.0.0.1 not 999.1.1.1; " + "f" * 40)], "doc_id long, text string")
     assert sorted((r.kind, r.value) for r in text.selectors(docs, "doc_id", "text").collect()) == [("email", "a@b.org"), ("ipv4", "10.0.0.1"), ("sha1", "f" * 40)]
     said = spark.createDataFrame([(1, "Dr. Mara Lindqvist founded Quillon Corporation. Quillon Corporation partnered with Tessarin.")], "doc_id long, text string")
