@@ -181,6 +181,7 @@ def sampled_betweenness(edges: DataFrame, epsilon: float = 0.01, failure: float
     placed = settle(ids.select(F.col("id").alias("seed"), share.alias("at")))
     rounds = max(1, math.ceil(math.log2(max(2.0, n / first))) + 1)
     chance = math.log(3 * n * rounds / failure)
+    first = max(first, math.ceil(3.3 * chance / epsilon))  # fewer cannot bring the bound down to epsilon
     sums, taken, low, high = None, 0, 0.0, min(1.0, first / n)
     while True:
         some = placed.where((F.col("at") >= low) & (F.col("at") < high))
