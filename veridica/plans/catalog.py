@@ -504,6 +504,9 @@ def gov_audit_seal(fx):
 
 # search and text
 
+#: Slot and sign of a hashed word.
+HASHED, SIGNED = "CAST('0x' || substr(md5({w}), 1, 8) AS BIGINT) % 256", "CASE WHEN substr(md5({w}), 9, 1) >= '8' THEN 1 ELSE -1 END"
+
 
 @query("""
 WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0),
@@ -518,7 +521,9 @@ def sea_knn_lsh(fx):
     return vectors.nearest(fx.embeddings, fx.embeddings.where("vec_id % 100 = 0"), 10)
 
 
-@query()
+@query(f"""
+WITH s AS (SELECT doc_id, {HASHED.format(w="w")} AS slot, sum({SIGNED.format(w="w")}) AS value FROM (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t <> '')) AS w FROM documents) GROUP BY 1, 2)
+SELECT doc_id, CAST(slot AS INT) AS slot, value / sqrt(sum(value * value) OVER (PARTITION BY doc_id)) AS value FROM s WHERE value <> 0""")
 def sea_embed(fx):
     return text.embed(fx.documents, "doc_id", "text")
 

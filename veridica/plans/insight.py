@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veridica.functions import text
+from veridica.functions import ranked, text
 from veridica.operators import entities as en
 from veridica.operators import evidence as ev
 from veridica.operators import geo, graph, identity
-from veridica.plans.catalog import _CONF, _NORM, _SCREEN, _SIM, _TIMELINE, _VISITS, INC, ORACLE_SQL, edges, query
+from veridica.plans.catalog import _CONF, _NORM, _SCREEN, _SIM, _TIMELINE, _VISITS, HASHED, INC, ORACLE_SQL, SIGNED, edges, query
 from veridica.plans.structure import _HUB, hub
 from veridica.sources import corpus
 
@@ -197,13 +197,28 @@ _QUERIES = [("steel copper",), ("Large Brass",), ("france",), ("Customer",)]
 _VALUES = "(VALUES ('steel copper'), ('Large Brass'), ('france'), ('Customer'))"
 
 
+#: What stands beside an entity's name in a search: its aliases in order, and its type as the description.
+_SEARCHED = """n AS (SELECT id, list_sort(list_distinct(list(alias))) AS al FROM aliases GROUP BY 1), d AS (SELECT id, name, coalesce(al, []) AS al, list_filter(string_split_regex(lower(concat_ws(' ', name, nullif(array_to_string(coalesce(al, []), ' '), ''), type)), '[^a-z0-9]+'), lambda t: t <> '') AS words FROM ents LEFT JOIN n USING (id))"""
+
+
+def _hashed(key: str, table: str) -> str:
+    counts = f"SELECT {key}, {HASHED.format(w='w')} AS slot, sum({SIGNED.format(w='w')}) AS v FROM (SELECT {key}, unnest(words) AS w FROM {table}) GROUP BY 1, 2"
+    return f"(SELECT {key}, slot, v, sum(v * v) OVER (PARTITION BY {key}) AS n2 FROM ({counts}))"
+
+
 @query(f"""
-WITH q(query) AS {_VALUES}, d AS (SELECT DISTINCT name, list_filter(string_split_regex(lower(name), '[^a-z0-9]+'), lambda t: t <> '') AS have FROM ents),
-s AS (SELECT query, name, len(list_filter(string_split(lower(query), ' '), lambda t: list_contains(have, t))) / len(string_split(query, ' ')) AS l, 1 - levenshtein(lower(query), lower(name)) / greatest(length(query), length(name)) AS f FROM d CROSS JOIN q),
-r AS (SELECT query, name, round(least(1, (.5 * l + CAST(.25 AS DOUBLE) * f) / .75 + CASE WHEN lower(query) = lower(name) THEN .4 ELSE 0 END), 4) AS score, CASE WHEN lower(query) = lower(name) THEN 'exact' WHEN l >= f THEN 'lexical' ELSE 'fuzzy' END AS matched_on FROM s)
-SELECT query, id, score, matched_on FROM r JOIN ents USING (name) WHERE score >= .05""")
+WITH q AS (SELECT DISTINCT trim(query) AS query, list_filter(string_split_regex(lower(query), '[^a-z0-9]+'), lambda t: t <> '') AS words FROM (SELECT * FROM {_VALUES} v(query) UNION ALL SELECT name FROM watch)), {_SEARCHED},
+c AS (SELECT query, id, sum(a.v * b.v) / sqrt(any_value(a.n2) * any_value(b.n2)) AS s FROM {_hashed("query", "q")} a JOIN {_hashed("id", "d")} b USING (slot) GROUP BY 1, 2),
+p AS (SELECT query, id, name, coalesce(len(list_intersect(q.words, d.words)) / len(list_distinct(q.words)), 0) AS l, list_max(list_transform(list_prepend(name, al), lambda x: 1 - levenshtein(lower(query), lower(x)) / greatest(length(query), length(x)))) AS f, lower(query) = lower(name) AS by_name, list_contains(list_transform(al, lambda x: lower(x)), lower(query)) AS by_alias FROM d CROSS JOIN q),
+r AS (SELECT query, id, name, l, f, greatest(0, coalesce(s, 0)) AS s, by_name, by_alias FROM p LEFT JOIN c USING (query, id)),
+t AS (SELECT query, id, name, round(CASE WHEN by_name OR by_alias THEN least(1, CAST(.5 AS DOUBLE) * l + CAST(.25 AS DOUBLE) * f + CAST(.25 AS DOUBLE) * s + CAST(.4 AS DOUBLE)) ELSE CAST(.5 AS DOUBLE) * l + CAST(.25 AS DOUBLE) * f + CAST(.25 AS DOUBLE) * s END, 4) AS score,
+  CASE WHEN by_alias AND NOT by_name THEN 'alias' WHEN l >= greatest(f, s) THEN 'lexical' WHEN f >= s THEN 'fuzzy' ELSE 'semantic' END AS matched_on FROM r)
+SELECT * FROM (SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS INT) AS rank, id, name, score, matched_on FROM t WHERE score >= .05) WHERE rank <= 20""")
 def sea_search(fx):
-    return text.search(fx.ents, fx.spark.createDataFrame(_QUERIES, "query string"))
+    """Four phrases and every name of the watchlist, against all entities with their aliases."""
+    names = fx.aliases.groupBy("id").agg(F.collect_set("alias").alias("aliases"))
+    docs = fx.ents.select("id", "name", F.col("type").alias("description")).join(names, "id", "left")
+    return ranked.search(docs, fx.spark.createDataFrame(_QUERIES, "query string").unionByName(fx.watch.select(F.col("name").alias("query"))))
 
 
 @query(f"""
