@@ -10,9 +10,10 @@ from veridica.functions import ranked, text
 from veridica.operators import entities as en
 from veridica.operators import evidence as ev
 from veridica.operators import geo, graph, identity
+from veridica.operators.frames import new_path, settle
 from veridica.plans.catalog import _CONF, _NORM, _SCREEN, _SIM, _TIMELINE, _VISITS, HASHED, INC, ORACLE_SQL, SIGNED, edges, query
 from veridica.plans.structure import _HUB, hub
-from veridica.sources import corpus
+from veridica.sources import corpus, tables
 
 # reads
 
@@ -363,3 +364,27 @@ def snk_projection(fx):
     """The exported projection, read back: nodes by label and edges by type."""
     nodes, rels = corpus.exported(fx.ents, fx.rels)
     return nodes.select("label", "id").unionByName(rels.select(F.col("type").alias("label"), "id")).groupBy("label").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last"))
+
+
+@query("""
+WITH n AS (SELECT id, upper(type[1]) || type[2:] AS label, CASE WHEN k % 10 = 0 THEN name || ' II' ELSE name END AS name, CASE WHEN k % 10 = 0 THEN 1 ELSE confidence_score END AS confidence_score FROM ents WHERE k % 13 <> 5),
+e AS (SELECT r.id, r.type, r.source_id, r.target_id, CASE WHEN r.is_ai_generated THEN 0 ELSE r.confidence_score END AS confidence_score FROM rels r JOIN n a ON a.id = source_id JOIN n b ON b.id = target_id WHERE NOT (r.type = 'MANAGES' AND r.confidence_score = 1))
+SELECT 'node' AS kind, id, label, name, NULL::VARCHAR AS source_id, NULL::VARCHAR AS target_id, confidence_score FROM n UNION ALL SELECT 'edge', id, type, NULL, source_id, target_id, confidence_score FROM e""")
+def snk_projection_upsert(fx):
+    """The projection after two batches: all that was there at first, then renamed, new and deleted entities, changed and deleted relationships."""
+    path = new_path(fx.spark)
+    early, late = F.col("k") % 7 != 0, (F.col("k") % 7 == 0) | (F.col("k") % 10 == 0) | (F.col("k") % 13 == 5)
+    first = fx.ents.where(early).withColumn("seq", F.lit(1)).withColumn("deleted", F.lit(False))
+    again = F.col("k") % 10 == 0
+    second = fx.ents.where(late).withColumn("name", F.when(again, F.concat("name", F.lit(" II"))).otherwise(F.col("name"))).withColumn("confidence_score", F.when(again, 1.0).otherwise(F.col("confidence_score")))
+    second = second.withColumn("seq", F.lit(2)).withColumn("deleted", F.col("k") % 13 == 5)
+    rels = settle(fx.rels)
+    said = rels.withColumn("seq", F.lit(1)).withColumn("deleted", F.lit(False))
+    tables.project(fx.spark, path, first, said.where("not is_ai_generated"), 0)
+    # what had no ends at first is said again
+    gone = (F.col("type") == "MANAGES") & (F.col("confidence_score") == 1)
+    told = said.withColumn("deleted", gone).withColumn("confidence_score", F.when(F.col("is_ai_generated"), 0.0).otherwise(F.col("confidence_score")))
+    tables.project(fx.spark, path, second, told, 1)
+    nodes, edges = tables.read(fx.spark, f"{path}/nodes", tables.NODES), tables.read(fx.spark, f"{path}/edges", tables.EDGES)
+    none = F.lit(None).cast("string")
+    return nodes.select(F.lit("node").alias("kind"), "id", "label", "name", none.alias("source_id"), none.alias("target_id"), "confidence_score").unionByName(edges.select(F.lit("edge").alias("kind"), "id", F.col("type").alias("label"), none.alias("name"), "source_id", "target_id", "confidence_score"))
