@@ -345,17 +345,20 @@ def communities(edges: DataFrame) -> DataFrame:
 
 
 def cells(edges: DataFrame, partition: DataFrame, min_size: int = 3) -> DataFrame:
-    """Per community: size, density, centralisation, kind."""
+    """Per community: size, density, centralisation, mean clustering, kind, and the hub of a hub and its spokes (of the highest degree, the least id)."""
     inside = edges.join(partition.select(F.col("id").alias("u"), "c"), "u").join(partition.select(F.col("id").alias("v"), F.col("c").alias("cv")), "v").where("c = cv").select("u", "v", "w", "c")
     deg = both(inside).groupBy(F.col("u").alias("id")).agg(F.count("*").alias("d"))
     size = partition.groupBy("c").agg(F.count("*").alias("n")).where(F.col("n") >= min_size)
     tri = clustering(inside).select("id", "clustering")
-    per = partition.join(deg, "id", "left").join(tri, "id", "left").groupBy("c").agg(F.coalesce(F.sum("d"), F.lit(0)).alias("ends"), F.coalesce(F.max("d"), F.lit(0)).alias("top"), F.avg(F.coalesce("clustering", F.lit(0.0))).alias("mean_cc"))
+    measured = partition.join(deg, "id", "left").join(tri, "id", "left").withColumn("d", F.coalesce("d", F.lit(0)))
+    # the least id of the highest degree, combined before the shuffle
+    by_degree = measured.groupBy("c", "d").agg(F.min("id").alias("first"), F.count("*").alias("k"), F.sum(F.coalesce("clustering", F.lit(0.0))).alias("cc"))
+    per = by_degree.groupBy("c").agg(F.sum(F.col("d") * F.col("k")).alias("ends"), F.max("d").alias("top"), F.max_by("first", "d").alias("first"), (F.sum("cc") / F.sum("k")).alias("mean_cc"))
     n = F.col("n")
     density = F.col("ends") / (n * (n - 1))
     central = (n * F.col("top") - F.col("ends")) / ((n - 1) * (n - 2))
     kind = F.when(F.col("centralisation") >= 0.6, "hub_and_spoke").when(F.col("density") >= 0.7, "clique").when((F.col("top") <= 2) & (F.col("mean_cc") < 0.1), "chain").otherwise("distributed")
-    return per.join(size, "c").withColumn("density", F.round(density, 6)).withColumn("centralisation", F.when(n > 2, F.round(central, 6)).otherwise(0.0)).select("c", F.col("n").alias("size"), "density", "centralisation", kind.alias("kind"))
+    return per.join(size, "c").withColumn("density", F.round(density, 6)).withColumn("centralisation", F.when(n > 2, F.round(central, 6)).otherwise(0.0)).select("c", F.col("n").alias("size"), "density", "centralisation", F.round("mean_cc", 6).alias("clustering"), kind.alias("kind"), F.when(kind == "hub_and_spoke", F.col("first")).alias("hub"))
 
 
 def without_each(edges: DataFrame, gone: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veridica.operators import graph, identity
+from veridica.operators.frames import settle
 from veridica.plans.catalog import _NORM, _SCREEN, edges, query
 
 def between(fx) -> DataFrame:
@@ -142,14 +143,21 @@ def g_cliques(fx):
 @query(f"""
 WITH RECURSIVE reach(id, c) AS (SELECT id, id FROM gnodes UNION SELECT gboth.v, reach.c FROM reach JOIN gboth ON gboth.u = reach.id WHERE reach.c < gboth.v), part AS MATERIALIZED (SELECT id, min(c) AS c FROM reach GROUP BY 1),
 btw AS (SELECT id, CAST(0 AS DOUBLE) AS score FROM gnodes), {_CC},
-per AS (SELECT c, count(*) AS n, CAST(sum(d) AS BIGINT) AS ends, max(d) AS top, avg(cc) AS mean_cc FROM part JOIN nodes0 USING (id) GROUP BY 1 HAVING count(*) >= 3),
+per AS (SELECT c, count(*) AS n, CAST(sum(d) AS BIGINT) AS ends, max(d) AS top, (array_agg(id ORDER BY d DESC, id))[1] AS first, avg(cc) AS mean_cc FROM part JOIN nodes0 USING (id) GROUP BY 1 HAVING count(*) >= 3),
 m AS (SELECT *, round(ends / (n * (n - 1)), 6) AS density, round((n * top - ends) / ((n - 1) * (n - 2)), 6) AS centralisation FROM per)
-SELECT c, n AS size, density, centralisation, CASE WHEN centralisation >= .6 THEN 'hub_and_spoke' WHEN density >= .7 THEN 'clique' WHEN top <= 2 AND mean_cc < .1 THEN 'chain' ELSE 'distributed' END AS kind FROM m""")
+SELECT c, n AS size, density, centralisation, round(mean_cc, 6) AS clustering, CASE WHEN centralisation >= .6 THEN 'hub_and_spoke' WHEN density >= .7 THEN 'clique' WHEN top <= 2 AND mean_cc < .1 THEN 'chain' ELSE 'distributed' END AS kind, CASE WHEN centralisation >= .6 THEN first END AS hub FROM m""")
 def g_cells(fx):
     kept = edges(fx)
     return graph.cells(kept, graph.components(kept).select("id", F.col("component").alias("c")))
 
 
+@query()
+def g_cells_communities(fx):
+    """Cells of the communities; the form over components has SQL."""
+    kept = edges(fx)
+    return graph.cells(kept, settle(graph.communities(kept)))
+
+
 def hub(fx) -> str:
     """The node of highest degree, the least of them."""
     top = fx.gdeg.orderBy(F.desc("d"), "id").select("id").first()
