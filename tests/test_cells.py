@@ -31,3 +31,21 @@ def test_cells_of_found_communities(spark):
     edges = spark.createDataFrame(rows, "u string, v string, w double")
     got = graph.cells(edges, graph.communities(edges)).collect()
     assert sorted((r["size"], r.kind, r.density) for r in got) == [(6, "clique", 1.0)] * 3
+
+
+def test_hierarchy_with_cycles(spark):
+    level = lambda rows: {r.id: (r.level, r.reports_to, r.subordinates) for r in graph.hierarchy(spark.createDataFrame(rows, "boss string, report string")).collect()}
+    # a long and a short way to z; then z is over b, which closes a cycle
+    lines = [("a", "b"), ("b", "c"), ("c", "z"), ("a", "z"), ("a", "a"), ("a", "b")]
+    assert level(lines) == {"a": (0, None, 2), "b": (1, "a", 1), "c": (2, "b", 1), "z": (3, "a", 0)}
+    assert {k: v[0] for k, v in level([*lines, ("z", "b")]).items()} == {"a": 0, "b": 1, "c": 2, "z": 1}
+    # nobody without a boss: the least id is the root
+    assert {k: v[0] for k, v in level([("n", "m"), ("m", "o"), ("o", "n")]).items()} == {"m": 0, "o": 1, "n": 2}
+    assert level([]) == {}
+
+
+def test_motifs(spark):
+    rows = [("a", "b", 0.5), ("b", "c", 1.0), ("c", "a", 0.25), ("c", "d", 1.0)] + [(x, y, 0.5) for x, y in combinations("wxyz", 2)] + [("z", "w", 0.9)]
+    edges = spark.createDataFrame(rows, "u string, v string, w double")
+    got = {(tuple(r.members), r["size"], r.kind, r.weight) for r in graph.motifs(edges).collect()}
+    assert got == {(("a", "b", "c"), 3, "triangle", 0.5833), (("w", "x", "y", "z"), 4, "clique-4", 0.5667)}

@@ -132,7 +132,7 @@ def test_no_length_or_size_limit(spark):
 
 def test_hierarchy_and_influence(spark):
     tree = spark.createDataFrame([("boss", "mid"), ("mid", "w1"), ("mid", "w2"), ("p", "q"), ("q", "p")], "boss string, report string")
-    assert by_id(graph.hierarchy(tree), "level") == {"boss": 0, "mid": 1, "w1": 2, "w2": 2, "p": None, "q": None}
+    assert by_id(graph.hierarchy(tree), "level") == {"boss": 0, "mid": 1, "w1": 2, "w2": 2, "p": 0, "q": 0}
     chain = edges(spark, [("a", "b", 1.0), ("b", "c", 1.0), ("c", "d", 0.0)])
     assert by_id(graph.influence(chain, ["a", "unknown"], 20), "probability") == {"a": 1.0, "b": 1.0, "c": 1.0}
 

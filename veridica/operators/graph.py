@@ -462,8 +462,38 @@ def cliques(edges: DataFrame, max_size: int | None = None) -> DataFrame:
             raise RuntimeError(f"a clique has more than {max_size} nodes")
 
 
+def motifs(edges: DataFrame, max_size: int | None = None) -> DataFrame:
+    """(members, size, kind, weight) of the maximal cliques of three nodes or more: triangle or clique-<size>, and the mean weight of their edges."""
+    found = settle(cliques(edges, max_size).where("size >= 3"))
+    weights = edges.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.max("w").alias("w"))
+    later = F.transform("members", lambda m, i: F.transform(F.slice("members", i + 2, F.size("members")), lambda n: F.struct(m.alias("u"), n.alias("v"))))
+    pairs = found.select("members", F.explode(F.flatten(later)).alias("e")).select("members", "e.u", "e.v")
+    mean = pairs.join(weights, ["u", "v"]).groupBy("members").agg(F.avg("w").alias("weight"))
+    kind = F.when(F.col("size") == 3, F.lit("triangle")).otherwise(F.concat(F.lit("clique-"), "size"))
+    return mean.select("members", F.size("members").alias("size"), F.round("weight", 4).alias("weight")).withColumn("kind", kind)
+
+
+def _steps(command: DataFrame, everyone: DataFrame) -> DataFrame:
+    """(id, level): fewest steps from the roots over edges (boss, report), 0 where there is no way."""
+    roots = everyone.join(command.select(F.col("report").alias("id")), "id", "left_anti")
+    if not roots.take(1):
+        roots = everyone.agg(F.min("id").alias("id"))
+    front, level = settle(roots.withColumn("level", F.lit(0))), 0
+    seen = front
+    while front.take(1):
+        level += 1
+        reached = front.join(command, front["id"] == command["boss"]).select(F.col("report").alias("id")).distinct()
+        front = settle(reached.join(seen, "id", "left_anti").withColumn("level", F.lit(level)))
+        seen = seen.unionByName(front)
+    return everyone.join(seen, "id", "left").select("id", F.coalesce("level", F.lit(0)).alias("level"))
+
+
 def hierarchy(command: DataFrame) -> DataFrame:
-    """(id, level, reports_to, subordinates) over edges (boss, report); level: longest chain from a root; null on a cycle."""
+    """(id, level, reports_to, subordinates) over edges (boss, report); level: longest chain from a root.
+
+    With a cycle anywhere, levels are the fewest steps from a root, roots being those without a boss, or the least id where all have one;
+    who is reached from no root has level 0. Self-loops are left out.
+    """
     command = settle(command.where("boss <> report").distinct())
     everyone = command.select(F.explode(F.array("boss", "report")).alias("id")).distinct()
     left, done, level = command, None, 0
@@ -477,8 +507,10 @@ def hierarchy(command: DataFrame) -> DataFrame:
         rest = settle(rest.join(top, "id", "left_anti"))
         left = settle(left.join(top.withColumnRenamed("id", "boss"), "boss", "left_anti"))
         level += 1
-    cyclic = rest.withColumn("level", F.lit(None).cast("int"))
-    done = cyclic if done is None else done.unionByName(cyclic)
+    if rest.take(1):
+        done = _steps(command, everyone)
+    elif done is None:
+        done = rest.withColumn("level", F.lit(0))
     boss = command.groupBy(F.col("report").alias("id")).agg(F.min("boss").alias("reports_to"))
     subs = command.groupBy(F.col("boss").alias("id")).agg(F.count("*").alias("subordinates"))
     return done.join(boss, "id", "left").join(subs, "id", "left").select("id", "level", "reports_to", F.coalesce("subordinates", F.lit(0)).alias("subordinates"))

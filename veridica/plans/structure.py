@@ -140,6 +140,22 @@ def g_cliques(fx):
     return graph.cliques(edges(fx)).select(F.array_join("members", ",").alias("members"), F.col("size").cast("bigint").alias("size"))
 
 
+_CLIQUES = """RECURSIVE adj AS MATERIALIZED (SELECT u, list(v) AS a FROM gboth GROUP BY 1),
+cl(members, common) AS (SELECT [u], a FROM adj UNION ALL SELECT list_append(members, w), list_intersect(common, adj.a) FROM (SELECT members, common, unnest(list_filter(common, lambda x: x > members[-1])) AS w FROM cl) JOIN adj ON adj.u = w)"""
+
+
+@query(f"""
+WITH {_CLIQUES}, c AS (SELECT members, len(members) AS size, unnest(members) AS x FROM cl WHERE len(common) = 0 AND len(members) >= 3), p AS (SELECT members, size, x, unnest(members) AS y FROM c)
+SELECT array_to_string(members, ',') AS members, size, CASE WHEN size = 3 THEN 'triangle' ELSE 'clique-' || size END AS kind, round(avg(w), 4) AS weight FROM p JOIN gboth ON u = x AND v = y WHERE x < y GROUP BY 1, 2, 3""")
+def g_motifs(fx):
+    return graph.motifs(edges(fx)).select(F.array_join("members", ",").alias("members"), F.col("size").cast("bigint").alias("size"), "kind", "weight")
+
+
+@query(f"WITH {_CLIQUES} SELECT len(members) AS size, count(*) AS cliques FROM cl WHERE len(common) = 0 GROUP BY 1")
+def g_clique_sizes(fx):
+    return graph.cliques(edges(fx)).groupBy(F.col("size").cast("bigint").alias("size")).agg(F.count("*").alias("cliques"))
+
+
 @query(f"""
 WITH RECURSIVE reach(id, c) AS (SELECT id, id FROM gnodes UNION SELECT gboth.v, reach.c FROM reach JOIN gboth ON gboth.u = reach.id WHERE reach.c < gboth.v), part AS MATERIALIZED (SELECT id, min(c) AS c FROM reach GROUP BY 1),
 btw AS (SELECT id, CAST(0 AS DOUBLE) AS score FROM gnodes), {_CC},
