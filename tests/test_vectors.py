@@ -80,3 +80,18 @@ def test_small_tables_are_exact(spark, k):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>")
     found = vectors.nearest(df, df, k).collect()
     assert recall(found, exact(np.arange(6), data, range(6), k)) == 1
+
+
+def test_pairs_of_blocks_agree_with_all_pairs(spark):
+    """Both searches with many small blocks and groups; no join has pairs of vectors as rows."""
+    data = clustered(1200)
+    data[300:400] = data[7]
+    ids = np.arange(len(data))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, data, strict=True)], "vec_id long, embedding array<double>").repartition(4)
+    odd = spark.createDataFrame([(9001, None), (9002, [1.0, None] * 16), (9003, [1.0])], df.schema)
+    queries, asked = df.where("vec_id % 100 = 0"), ids[ids % 100 == 0]
+    want = exact(ids, data, asked, 10)
+    found = vectors.exact(df.unionByName(odd), queries, 10, block=100, asked=5)
+    assert recall(found.collect(), want) == 1.0
+    last = [(r.vec_id, r.cosine) for r in vectors.exact(df.limit(3).unionByName(odd), queries.limit(1), 9).orderBy("rank").collect()]
+    assert last[-3:] == [(9001, None), (9002, None), (9003, None)]

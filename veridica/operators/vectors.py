@@ -8,7 +8,9 @@ into more buckets than one that is far from all.
 The radius is not a constant: a sample of at most `sample` vectors is compared with all vectors, and the
 radius is the least that finds the share `target` of their true neighbours in some table. Buckets hold
 about `bucket` vectors, whatever the number of vectors. All vectors are in the index, candidates
-are met by equi joins on (table, bucket), compared once each, and ranked by their exact cosine.
+meet by (table, group), a group being the buckets that agree in their first planes. A task holds one group and the
+queries that look into it; costs and exact cosines there are matrix products, and only the best rows of
+each query leave it. So no pair is ever a row of a shuffle.
 
 Equal vectors are one entry that keeps the k + 1 smallest ids, more of which no query can return. So a vector
 that a third of all rows share is one row of the index.
@@ -79,7 +81,7 @@ def tune(entries: DataFrame, planes: np.ndarray, k: int, target: float, sample:
     asked = entries.orderBy(F.xxhash64("key")).select("key", "v").limit(sample).collect()
     own, at = np.array([r.key for r in asked]), np.array([r.v for r in asked])
 
-    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def top_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         top = pd.DataFrame({"query": [], "cosine": [], "v": []})
         for frame in frames:
             found = np.stack(frame["v"].to_numpy())
@@ -90,7 +92,7 @@ def tune(entries: DataFrame, planes: np.ndarray, k: int, target: float, sample:
             top = (pd.concat([top, new]) if len(top) else new).sort_values("cosine", ascending=False).groupby("query").head(k)
         yield top.astype({"query": "int64", "cosine": "float64"})
 
-    near = entries.select("key", "v").mapInPandas(best, "query bigint, cosine double, v array<double>").where("cosine > -2")
+    near = entries.select("key", "v").mapInPandas(top_of, "query bigint, cosine double, v array<double>").where("cosine > -2")
     place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("cosine")))
     true = near.withColumn("place", place).where(F.col("place") <= k).select("query", "v").collect()  # at most sample * k rows
     if not true:
@@ -118,6 +120,61 @@ def buckets(rows: DataFrame, planes: np.ndarray, radius: float | None = None) ->
     return rows.select("key", "v").mapInPandas(run, "key bigint, table int, bucket bigint")
 
 
+def best(cosine: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each row's k best by cosine in five digits, ties to the smaller key; -inf is no candidate."""
+    rounded = np.floor(cosine * 1e5 + 0.5)
+    if cosine.shape[1] > k:
+        floor = np.partition(rounded, -k, axis=1)[:, -k][:, None]
+        row, column = np.nonzero((rounded >= floor) & (rounded > -np.inf))
+    else:
+        row, column = np.nonzero(rounded > -np.inf)
+    order = np.lexsort((keys[column], -rounded[row, column], row))
+    row, column = row[order], column[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], column[place < k]
+
+
+def exact(vectors: DataFrame, queries: DataFrame, k: int, block: int = 8192, asked: int = 2048) -> DataFrame:
+    """(query_id, vec_id, cosine, rank): the k rows of (vec_id, embedding) of largest cosine to each query of the same form, itself excepted.
+
+    Blocks of rows meet blocks of queries, a pair of blocks in a task; the k best of each leave it. A null vector, one with a
+    null component or of another length has a null cosine, which comes last; a cosine that is no number comes first.
+    """
+    rows_of = lambda df, size: max(1, -(-df.count() // size))
+    n_rows, n_asked = rows_of(vectors, block), rows_of(queries, asked)
+    whole = F.when(F.forall("embedding", lambda x: x.isNotNull()), F.col("embedding")).alias("v")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = vectors.select(F.col("vec_id").alias("key"), whole, F.pmod(F.xxhash64("vec_id"), F.lit(n_rows)).cast("int").alias("b")).withColumn("q", every(n_asked))
+    right = queries.select(F.col("vec_id").alias("key"), whole, F.pmod(F.xxhash64("vec_id"), F.lit(n_asked)).cast("int").alias("q")).withColumn("b", every(n_rows))
+
+    def run(rows: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        found: list[pd.DataFrame] = []
+        have, want = rows["v"].to_numpy(), wanted["v"].to_numpy()
+        sizes, asked_sizes = (np.array([0 if v is None else len(v) for v in values], dtype=np.int64) for values in (have, want))
+        keys, ids = rows["key"].to_numpy(), wanted["key"].to_numpy()
+        for size in np.unique(asked_sizes):
+            of = np.flatnonzero(asked_sizes == size)
+            usable = np.flatnonzero((sizes == size) & (size > 0))
+            x = np.array([have[i] for i in usable], dtype=np.float64).reshape(len(usable), size)
+            norm = np.sqrt((x * x).sum(axis=1))
+            for part in np.array_split(of, max(1, -(-len(of) // 256))):
+                cosine = np.full((len(part), len(keys)), -1e9)  # a null, but a candidate
+                if len(usable):
+                    y = np.array([want[i] for i in part], dtype=np.float64)
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        value = (y @ x.T) / (np.sqrt((y * y).sum(axis=1))[:, None] * norm)
+                    cosine[:, usable] = np.where(np.isnan(value), 1e9, value)
+                cosine[ids[part][:, None] == keys] = -np.inf
+                row, column = best(cosine, keys, k)
+                found.append(pd.DataFrame({"query_id": ids[part][row], "vec_id": keys[column], "cosine": cosine[row, column]}))
+        return pd.concat(found) if found else pd.DataFrame({"query_id": ids[:0], "vec_id": keys[:0], "cosine": np.zeros(0)})
+
+    met = left.groupBy("b", "q").cogroup(right.groupBy("b", "q")).applyInPandas(run, "query_id bigint, vec_id bigint, cosine double")
+    value = F.when(F.col("cosine") > 2, float("nan")).when(F.col("cosine") >= -2, F.round("cosine", 5))
+    scored = met.select("query_id", "vec_id", value.alias("cosine"))
+    return scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id"))).where(F.col("rank") <= k)
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, target: float = 0.97, tables: int = 8, bucket: int = 16, sample: int = 64) -> DataFrame:
     """(query_id, vec_id, cosine, rank): the k nearest of (vec_id, embedding) to each query of the same form, itself excepted."""
     spark = vectors.sparkSession
