@@ -95,3 +95,7 @@ def test_pairs_of_blocks_agree_with_all_pairs(spark):
     assert recall(found.collect(), want) == 1.0
     last = [(r.vec_id, r.cosine) for r in vectors.exact(df.limit(3).unionByName(odd), queries.limit(1), 9).orderBy("rank").collect()]
     assert last[-3:] == [(9001, None), (9002, None), (9003, None)]
+    near = vectors.nearest(df, queries, 10, group=64)
+    assert recall(near.collect(), want) >= 0.9
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan

@@ -175,7 +175,7 @@ def exact(vectors: DataFrame, queries: DataFrame, k: int, block: int = 8192, ask
     return scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id"))).where(F.col("rank") <= k)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, target: float = 0.97, tables: int = 8, bucket: int = 16, sample: int = 64) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, target: float = 0.97, tables: int = 8, bucket: int = 16, sample: int = 64, group: int = 16384) -> DataFrame:
     """(query_id, vec_id, cosine, rank): the k nearest of (vec_id, embedding) to each query of the same form, itself excepted."""
     spark = vectors.sparkSession
     entries = settle(distinct(unit(vectors), k))
@@ -186,9 +186,31 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, target: float = 0.97
     planes = hyperplanes(tables, max(1, round(math.log2(max(2, n / bucket)))), len(entries.first().v))
     radius = tune(entries, planes, k, target, sample)
     asked = unit(queries).select(F.col("id").alias("key"), "v")
-    index = buckets(entries, planes)
-    looks = buckets(asked, planes, radius).withColumnRenamed("key", "query_id")
-    pairs = looks.join(index, ["table", "bucket"]).select("query_id", "key").distinct()
-    compared = pairs.join(asked.select(F.col("key").alias("query_id"), F.col("v").alias("q")), "query_id").join(entries, "key")
-    scored = compared.select("query_id", F.explode("ids").alias("vec_id"), F.round(dot("v", "q"), 5).alias("cosine")).where("vec_id <> query_id")
+    bits = planes.shape[1]
+    first = min(bits, max(0, math.ceil(math.log2(max(1, n / group)))))  # planes that make a group
+    index = buckets(entries, planes).withColumn("group", F.col("bucket").bitwiseAND(F.lit((1 << first) - 1)).cast("int"))
+    held = index.join(entries.select("key", "v"), "key")
+    looks = buckets(asked, planes[:, :first], radius).select("key", "table", F.col("bucket").cast("int").alias("group")).join(asked, "key")
+
+    def run(rows: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"query_id": np.zeros(0, dtype=np.int64), "key": np.zeros(0, dtype=np.int64), "cosine": np.zeros(0)})
+        if not len(rows) or not len(wanted):
+            return none
+        x, keys, ids = np.stack(rows["v"].to_numpy()), rows["key"].to_numpy(), wanted["key"].to_numpy()
+        sides = (rows["bucket"].to_numpy()[:, None] >> np.arange(bits) & 1).astype(np.float64)
+        found = [none]
+        for part in np.array_split(np.arange(len(ids)), -(-len(ids) // 256)):
+            y = np.stack(wanted["v"].to_numpy()[part])
+            margin = y @ planes[int(wanted["table"].iloc[0])].T
+            square, own = np.square(margin), margin > 0
+            cost = (square * own).sum(axis=1)[:, None] + (square * (1 - 2.0 * own)) @ sides.T
+            cosine = np.where(cost <= radius + 1e-9, y @ x.T, -np.inf)
+            row, column = best(cosine, keys, k + 1)  # one of them can be the query's own
+            found.append(pd.DataFrame({"query_id": ids[part][row], "key": keys[column], "cosine": cosine[row, column]}))
+        return pd.concat(found)
+
+    met = held.groupBy("table", "group").cogroup(looks.groupBy("table", "group")).applyInPandas(run, "query_id bigint, key bigint, cosine double")
+    once = met.groupBy("query_id", "key").agg(F.round(F.max("cosine"), 5).alias("cosine"))
+    few = once.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("cosine"), "key"))).where(F.col("place") <= k + 1)
+    scored = few.join(entries.select("key", "ids"), "key").select("query_id", F.explode("ids").alias("vec_id"), "cosine").where("vec_id <> query_id")
     return scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id"))).where(F.col("rank") <= k)
