@@ -25,3 +25,11 @@ def test_betweenness_of_a_path(spark):
     df = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("c", "d", 1.0)], "u string, v string, w double")
     assert {r.id: round(r.score, 6) for r in graph.betweenness(df).collect()} == {"a": 0, "b": 0.666667, "c": 0.666667, "d": 0}
     assert {r.score for r in graph.sampled_betweenness(df.where("u = 'a'")).collect()} == {0.0}
+
+
+def test_small_pieces_are_one_block(spark, monkeypatch):
+    df = spark.createDataFrame([(f"{k}a", f"{k}b", 1.0) for k in range(40)] + [(f"{k}b", f"{k}c", 1.0) for k in range(40)], "u string, v string, w double")
+    blocks, plain = [], graph._dependencies
+    monkeypatch.setattr(graph, "_dependencies", lambda *given: (blocks.append(1), plain(*given))[1])
+    got = {r.id: round(r.score * 119 * 118, 6) for r in graph.betweenness(df, block=10).collect()}
+    assert got == {f"{k}{x}": 2.0 * (x == "b") for k in range(40) for x in "abc"} and len(blocks) == 1
