@@ -640,34 +640,68 @@ def assemble(paths: DataFrame, edges: DataFrame, kind: str) -> DataFrame:
     return joined.select("path_id", F.array_join("path", ">").alias("path"), "length", F.round(score, 6).alias("score"), F.round(one("bottleneck"), 6).alias("bottleneck"))
 
 
+def _ego_ranks(alpha: float, tol: float, max_rounds: int):
+    """For batches of ego graphs (seed, u, v, w), sorted by seed: (seed, n, degree, x), x the ego's own PageRank; the whole egos of a batch go through a round together."""
+
+    def ranks(pdf):
+        import numpy as np
+        import pandas as pd
+
+        seed, seeds = pd.factorize(pdf["seed"])
+        code, names = pd.factorize(pd.concat([pdf["u"], pdf["v"], pd.Series(seeds)], ignore_index=True))
+        m, k = len(pdf), len(names)
+        keys, at = np.unique(np.concatenate([seed, seed]) * np.int64(k) + code[: 2 * m], return_inverse=True)
+        u, v, own = at[:m], at[m:], keys // k
+        n = np.bincount(own, minlength=len(seeds))
+        total = np.bincount(u, weights=pdf["w"].to_numpy(), minlength=len(keys))
+        p, loose = pdf["w"].to_numpy() / total[u], total == 0
+        x = 1.0 / n[own]
+        for _ in range(max_rounds):
+            spare = np.bincount(own, weights=np.where(loose, x, 0.0), minlength=len(seeds))
+            new = ((1 - alpha) + alpha * spare[own]) / n[own] + alpha * np.bincount(v, weights=p * x[u], minlength=len(keys))
+            moved = np.bincount(own, weights=np.abs(new - x)).max()
+            x = new
+            if moved < tol:
+                break
+        me = code[2 * m :]
+        degree = np.bincount(seed, weights=(code[:m] == me[seed]) | (code[m : 2 * m] == me[seed]), minlength=len(seeds))
+        return pd.DataFrame({"seed": seeds, "n": n, "degree": degree.astype("int64"), "x": x[np.searchsorted(keys, np.arange(len(seeds)) * np.int64(k) + me)]})
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        held = []
+        for pdf in batches:
+            last = pdf["seed"].iloc[-1] if len(pdf) else None
+            if held and last == held[0]["seed"].iloc[0]:
+                held.append(pdf)
+                continue
+            if len(pdf):
+                done = pdf["seed"] != last
+                whole = pd.concat([*held, pdf[done]], ignore_index=True)
+                held = [pdf[~done]]
+                if len(whole):
+                    yield ranks(whole)
+        if held:
+            yield ranks(pd.concat(held, ignore_index=True))
+
+    return run
+
+
 def ego_influence(edges: DataFrame, egos: DataFrame, alpha: float = 0.85, tol: float = 1e-9, max_rounds: int = 200) -> DataFrame:
     """(seed, nodes, degree_centrality, pagerank) of each ego (seed) within its two-hop graph, all egos in one run.
 
     The two-hop graph has the edges with an end at the ego or one hop from it. PageRank is directed
     and weighted, dangling mass spread over the ego's graph, until the largest change of an ego's graph is
-    below tol.
+    below tol. The graphs are made by joins and dealt and sorted by their ego; a task then takes them batch by batch, and
+    holds at most a batch and the edges of one ego.
     """
     near = ego(edges, egos, 1).select("seed", F.col("id").alias("x"))
     touched = near.join(edges.select(F.col("u").alias("x"), "u", "v", "w"), "x").unionByName(near.join(edges.select(F.col("v").alias("x"), "u", "v", "w"), "x"))
-    own = settle(touched.select("seed", "u", "v", F.greatest("w", F.lit(1e-9)).alias("w")).distinct())
-    out = own.groupBy("seed", "u").agg(F.sum("w").alias("t"))
-    share = settle(own.join(out, ["seed", "u"]).select("seed", "u", "v", (F.col("w") / F.col("t")).alias("p")))
-    ids = own.select("seed", F.explode(F.array("u", "v")).alias("id")).distinct()
-    n = ids.groupBy("seed").agg(F.count("*").alias("n"))
-    rank = settle(ids.join(n, "seed").join(out.select("seed", F.col("u").alias("id"), F.lit(False).alias("dangling")), ["seed", "id"], "left").select("seed", "id", "n", F.coalesce("dangling", F.lit(True)).alias("dangling"), (1 / F.col("n")).alias("x")))
-    for _ in range(max_rounds):
-        loose = rank.groupBy("seed").agg(F.sum(F.when(F.col("dangling"), F.col("x")).otherwise(0.0)).alias("loose"))
-        flow = share.join(rank.select("seed", F.col("id").alias("u"), "x"), ["seed", "u"]).groupBy("seed", F.col("v").alias("id")).agg(F.sum(F.col("p") * F.col("x")).alias("got"))
-        new = rank.join(loose, "seed").join(flow, ["seed", "id"], "left").select("seed", "id", "n", "dangling", "x", ((1 - alpha) / F.col("n") + alpha * F.col("loose") / F.col("n") + alpha * F.coalesce("got", F.lit(0.0))).alias("y"))
-        new = settle(new)
-        moved = new.groupBy("seed").agg(F.sum(F.abs(F.col("y") - F.col("x"))).alias("m")).agg(F.coalesce(F.max("m"), F.lit(0.0))).first()[0]
-        drop(rank)
-        rank = new.select("seed", "id", "n", "dangling", F.col("y").alias("x"))
-        if moved < tol:
-            break
-    degree = own.where("u = seed or v = seed").groupBy("seed").agg(F.count("*").alias("degree"))
-    mine = rank.where("id = seed").select("seed", "n", "x")
-    return mine.join(degree, "seed").select("seed", F.col("n").alias("nodes"), F.round(F.col("degree") / (F.col("n") - 1), 4).alias("degree_centrality"), F.round("x", 4).alias("pagerank"))
+    own = touched.select("seed", "u", "v", F.greatest("w", F.lit(1e-9)).alias("w")).distinct()
+    kind = own.schema["seed"].dataType.simpleString()
+    mine = own.repartition("seed").sortWithinPartitions("seed").mapInPandas(_ego_ranks(alpha, tol, max_rounds), f"seed {kind}, n bigint, degree bigint, x double")
+    return mine.select("seed", F.col("n").alias("nodes"), F.round(F.col("degree") / (F.col("n") - 1), 4).alias("degree_centrality"), F.round("x", 4).alias("pagerank"))
 
 
 def ego(edges: DataFrame, egos: DataFrame, depth: int) -> DataFrame:
