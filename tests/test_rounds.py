@@ -63,3 +63,20 @@ def test_egos_go_through_a_round_together(spark):
             x = new
         assert got[ego][:2] == (len(ids), round((len(near) - 1) / (len(ids) - 1), 4)) and abs(got[ego][2] - x[ego]) < 1e-4
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("egos")) < 30
+
+
+def test_chains_are_sealed_once_and_in_order(spark):
+    rows = [(i, None if i % 5 == 0 else f"a{i % 3}", "update", "t", i % 4, f"2024-01-01 00:00:{59 - i % 60:02d}") for i in range(100)]
+    audit = spark.createDataFrame(rows, "id long, actor_id string, action string, target_table string, target_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        sealed = governance.seal(audit, "actor_id")
+        checked = governance.verify_chain(sealed, "actor_id")
+        assert "InPandas" not in plan(checked)
+        assert {r.actor_id: (r.entries, r.valid) for r in checked.collect()} == {f"a{k}": (sum(i % 5 > 0 and i % 3 == k for i in range(100)), True) for k in range(3)}
+        ordered = {}
+        for r in sorted(sealed.collect(), key=lambda r: (r.ts, r.id)):
+            assert r.prev_hash == ordered.get(r.actor_id, "")
+            ordered[r.actor_id] = r.entry_hash
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
