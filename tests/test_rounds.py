@@ -80,3 +80,12 @@ def test_chains_are_sealed_once_and_in_order(spark):
             ordered[r.actor_id] = r.entry_hash
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_texts_are_read_once_by_ingestion(spark):
+    docs = spark.createDataFrame([("d1", "Dr. Ann Lee is the director of Acme Holdings. Nothing else."), ("d2", None)], "id string, text string")
+    known = spark.createDataFrame([("P1", "ann lee", "person")], "id string, name string, type string")
+    found = text.ingest(docs, "id", "text", known)
+    assert all("regexp" not in plan(f) and "rlike" not in plan(f).lower() for f in found.values())
+    assert [(r.source_id, r.quote[:11]) for r in found["relationships"].collect()] == [("P1", "Ann Lee is ")]
+    assert found["entities"].where("known").count() == 1
