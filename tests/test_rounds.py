@@ -82,6 +82,16 @@ def test_chains_are_sealed_once_and_in_order(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_visits_meet_by_place_and_time(spark):
+    rng = random.Random(1)
+    rows = [(f"a{rng.randrange(6)}", f"p{rng.randrange(2)}", rng.randrange(0, 20 * 86400) - 5 * 86400) for _ in range(80)] + [("a1", "p1", 0), ("a2", "p1", 2 * 86400), ("a3", "p1", -2 * 86400)]
+    visits = spark.createDataFrame(rows, "actor string, place string, s long").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    met = streams.colocation(visits, visits, 2)
+    assert "bucket" in plan(met)
+    want = sorted((x[0], y[0], x[1], x[2], y[2]) for x in rows for y in rows if x[1] == y[1] and x[0] < y[0] and abs(x[2] - y[2]) <= 2 * 86400)
+    assert sorted(tuple(r) for r in met.select("a", "b", "place", F.unix_seconds("ts_a"), F.unix_seconds("ts_b")).collect()) == want
+
+
 def test_texts_are_read_once_by_ingestion(spark):
     docs = spark.createDataFrame([("d1", "Dr. Ann Lee is the director of Acme Holdings. Nothing else."), ("d2", None)], "id string, text string")
     known = spark.createDataFrame([("P1", "ann lee", "person")], "id string, name string, type string")
