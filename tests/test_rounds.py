@@ -38,6 +38,20 @@ def parts(rows, without):
     return len(sizes), max(sizes, default=0)
 
 
+def test_resilience_contracts_the_graph_once(spark, monkeypatch):
+    rows, df = random_edges(spark, 60, 62, 5)
+    given, plain = [], graph.components
+    monkeypatch.setattr(graph, "components", lambda edges: (given.append(edges.count()), plain(edges))[1])
+    got = {r.id: (r.components_after, r.largest_after) for r in graph.resilience(df, 6).collect()}
+    assert len(got) == 6 and got == {x: parts(rows, x) for x in got}
+    # the graph without the six nodes, then only the edges at those
+    assert len(given) == 2 and given[0] < len(rows)
+    gone = spark.createDataFrame([("n1",), ("nowhere",)], "id string")
+    assert {r.scenario: (r.components, r.largest) for r in graph.without_each(df, gone).collect()} == {x: parts(rows, x) for x in ("n1", "nowhere")}
+    pair = spark.createDataFrame([("a", "b", 1.0)], "u string, v string, w double")
+    assert {(r.id, r.components_after, r.largest_after) for r in graph.resilience(pair, 2).collect()} == {("a", 1, 1), ("b", 1, 1)}
+
+
 def test_egos_go_through_a_round_together(spark):
     rows, df = random_edges(spark, 30, 45, 9)
     spark.sparkContext.setJobGroup("egos", "")

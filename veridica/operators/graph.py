@@ -19,6 +19,11 @@ from pyspark.sql import functions as F
 from veridica.operators.frames import drop, settle
 
 
+def _held(df: DataFrame) -> DataFrame:
+    """settle() for frames that many rounds join: sorted and merged where they lie, never gathered by the driver to be sent to all."""
+    return settle(df).hint("merge")
+
+
 def both(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v", "w").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
 
@@ -376,15 +381,37 @@ def cells(edges: DataFrame, partition: DataFrame, min_size: int = 3) -> DataFram
     return per.join(size, "c").withColumn("density", F.round(density, 6)).withColumn("centralisation", F.when(n > 2, F.round(central, 6)).otherwise(0.0)).select("c", F.col("n").alias("size"), "density", "centralisation", F.round("mean_cc", 6).alias("clustering"), kind.alias("kind"), F.when(kind == "hub_and_spoke", F.col("first")).alias("hub"))
 
 
-def without_each(edges: DataFrame, gone: DataFrame) -> DataFrame:
-    """(scenario, components, largest): the graph without each node of `gone`, all scenarios in one run."""
-    ids = nodes(edges)
-    pairs = both(edges).select("u", "v").crossJoin(F.broadcast(gone.select(F.col("id").alias("s")))).where("u <> s and v <> s")
-    keyed = pairs.select(F.struct("s", F.col("u").alias("x")).alias("u"), F.struct("s", F.col("v").alias("x")).alias("v"), F.lit(1.0).alias("w"))
-    alone = ids.crossJoin(F.broadcast(gone.select(F.col("id").alias("s")))).where("id <> s").select(F.struct("s", F.col("id").alias("x")).alias("id"))
-    label = components(keyed)
-    full = alone.join(label, "id", "left").select("id.s", F.coalesce("component", "id").alias("c"))
-    return full.groupBy("s", "c").agg(F.count("*").alias("n")).groupBy(F.col("s").alias("scenario")).agg(F.count("*").alias("components"), F.max("n").alias("largest"))
+def without_each(edges: DataFrame, gone: DataFrame, whole: bool = False) -> DataFrame:
+    """(scenario, components, largest): the graph without each node of `gone`, all scenarios in one run; with `whole`, also the whole graph as the null scenario.
+
+    What hangs together without any of `gone` is contracted once, over the whole graph. A scenario then joins those parts again by
+    the few edges at `gone` that it leaves; parts that none of them touches are the same in every scenario.
+    """
+    gone = gone.select("id").distinct()
+    key = lambda c: gone.select(F.col("id").alias(c))
+    rest = edges.join(F.broadcast(key("u")), "u", "left_anti").join(F.broadcast(key("v")), "v", "left_anti").select("u", "v", "w")
+    kept = nodes(edges).join(F.broadcast(gone), "id", "left_anti")
+    label = _held(kept.join(components(rest), "id", "left").select("id", F.coalesce("component", "id").alias("c")))
+    there = _held(nodes(edges).join(F.broadcast(gone), "id", "left_semi"))
+    place = label.unionByName(there.select("id", F.col("id").alias("c")))
+    near = both(edges).join(F.broadcast(key("u")), "u", "left_semi")
+    touch = _held(near.join(place.select(F.col("id").alias("v"), "c"), "v").select("u", F.col("c").alias("v")).distinct())
+    parts = label.groupBy("c").agg(F.count("*").alias("n"))
+    met = _held(parts.join(touch.select(F.col("v").alias("c")).distinct(), "c", "left_semi"))
+    far = parts.join(met, "c", "left_anti").agg(F.count("*").alias("far"), F.coalesce(F.max("n"), F.lit(0)).alias("far_n"))
+    # a scenario is the array of what it removes
+    runs = gone.select(F.array("id").alias("s"))
+    if whole:
+        runs = runs.unionByName(edges.sparkSession.range(1).select(F.slice(F.array(F.lit(None).cast(gone.schema["id"].dataType)), 1, 0).alias("s")))
+    runs = F.broadcast(runs)
+    in_run = lambda *ends: reduce(lambda x, y: x & y, [~F.array_contains("s", F.col(e)) for e in ends])
+    keyed = touch.crossJoin(runs).where(in_run("u", "v")).select(F.struct("s", F.col("u").alias("x")).alias("u"), F.struct("s", F.col("v").alias("x")).alias("v"), F.lit(1.0).alias("w"))
+    each = met.unionByName(there.select(F.col("id").alias("c"), F.lit(1).cast("bigint").alias("n"))).crossJoin(runs).where(in_run("c")).select(F.struct("s", F.col("c").alias("x")).alias("id"), "n")
+    sizes = each.join(components(keyed), "id", "left").groupBy("id.s", F.coalesce("component", "id").alias("c")).agg(F.sum("n").alias("n"))
+    found = sizes.groupBy("s").agg(F.count("*").alias("k"), F.max("n").alias("m"))
+    rows = edges.sparkSession.range(1).crossJoin(runs).join(found, "s", "left").crossJoin(F.broadcast(far))
+    rows = rows.select(F.get("s", F.lit(0)).alias("scenario"), (F.coalesce("k", F.lit(0)) + F.col("far")).alias("components"), F.greatest(F.coalesce("m", F.lit(0)), "far_n").alias("largest"))
+    return rows.where("components > 0")
 
 
 def resilience(edges: DataFrame, limit: int) -> DataFrame:
@@ -392,8 +419,9 @@ def resilience(edges: DataFrame, limit: int) -> DataFrame:
     deg = both(edges).groupBy(F.col("u").alias("id")).agg(F.count("*").alias("degree"))
     top = settle(deg.orderBy(F.desc("degree"), "id").limit(limit))
     n = deg.count()
-    base = components(edges).groupBy("component").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    after = without_each(edges, top)
+    after = settle(without_each(edges, top, whole=True))
+    base = after.where("scenario is null").agg(F.coalesce(F.max("largest"), F.lit(0))).first()[0]
+    after = after.where("scenario is not null")
     return after.select(F.col("scenario").alias("id"), F.col("components").alias("components_after"), F.col("largest").alias("largest_after"), F.round(1 - F.col("largest") / (n - 1), 6).alias("fragmentation"), F.round((F.lit(base) - F.col("largest")) / F.lit(base), 6).alias("reachability_drop"))
 
 
