@@ -52,6 +52,26 @@ def test_resilience_contracts_the_graph_once(spark, monkeypatch):
     assert {(r.id, r.components_after, r.largest_after) for r in graph.resilience(pair, 2).collect()} == {("a", 1, 1), ("b", 1, 1)}
 
 
+def test_best_paths_go_on_from_what_grew(spark):
+    rows, df = random_edges(spark, 40, 70, 3)
+    for kind, join in (("widest", min), ("likely", lambda x, w: x * max(w, 1e-9))):
+        want = {"n1": 1.0}
+        for _ in range(40):
+            for u, v, w in [*rows, *((v, u, w) for u, v, w in rows)]:
+                if u in want:
+                    want[v] = max(want.get(v, 0.0), join(want[u], w))
+        short = {r.id: r.score for r in graph.best_paths(df, "n1", kind, paths=False).collect()}
+        assert short.keys() == want.keys() and all(abs(short[x] - want[x]) < 1e-9 for x in want)
+        weight = {(u, v): w for a, b, w in rows for u, v in ((a, b), (b, a))}
+        for r in graph.best_paths(df, "n1", kind).collect():
+            score = 1.0
+            for step in zip(r.path, r.path[1:]):
+                score = join(score, weight[step])
+            assert abs(score - want[r.id]) < 1e-9 and r.hops == len(r.path) - 1 and len(set(r.path)) == len(r.path)
+    over = spark.createDataFrame([("a", "b", 2.0), ("b", "c", 1.0)], "u string, v string, w double")
+    assert {r.id: r.score for r in graph.best_paths(over, "a", "likely", paths=False).collect()} == {"a": 1.0, "b": 2.0, "c": 2.0}
+
+
 def test_egos_go_through_a_round_together(spark):
     rows, df = random_edges(spark, 30, 45, 9)
     spark.sparkContext.setJobGroup("egos", "")

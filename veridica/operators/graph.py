@@ -576,20 +576,36 @@ def influence(edges: DataFrame, seeds: list[str], trials: int = 200, salt: int =
     return seen.groupBy("id").agg((F.count("*") / F.lit(float(trials))).alias("probability"))
 
 
-def best_paths(edges: DataFrame, source: str, kind: str) -> DataFrame:
-    """(id, score, hops) from the source: `widest` (largest bottleneck) or `likely` (largest product), relaxed until still."""
+def best_paths(edges: DataFrame, source: str, kind: str, paths: bool = True) -> DataFrame:
+    """(id, score, hops and, with `paths`, path) from the source: `widest` (largest bottleneck) or `likely` (largest product), relaxed until still.
+
+    Only nodes whose score grew in a round go on in the next. Without `paths` a row has a fixed size; a walk that meets a node again
+    cannot be better, unless weights over 1 make it so in products: then paths are kept, so that none enters a node twice.
+    """
     links = settle(both(edges))
-    now = settle(nodes(edges).where(F.col("id") == source).select("id", F.lit(1.0).alias("score"), F.array("id").alias("path")))
-    while True:
-        step = now.select(F.col("id").alias("u"), "score", "path").join(links, "u")
+    long = kind != "widest" and links.agg(F.coalesce(F.max("w"), F.lit(0.0)) > 1).first()[0]
+    path = paths or long
+    more = ["path"] if path else []
+    now = settle(nodes(edges).where(F.col("id") == source).select("id", F.lit(1.0).alias("score"), F.lit(0).alias("hops"), *([F.array("id").alias("path")] if path else []), F.lit(True).alias("fresh")))
+    hops = 0
+    while now.where("fresh").take(1):
+        hops += 1
+        step = now.where("fresh").select(F.col("id").alias("u"), "score", *more).join(links.hint("shuffle_hash"), "u")
         value = F.least("score", "w") if kind == "widest" else F.col("score") * F.greatest("w", F.lit(1e-9))
-        reached = step.where(~F.array_contains("path", F.col("v"))).select(F.col("v").alias("id"), value.alias("score"), F.concat("path", F.array("v")).alias("path"))
-        best = now.unionByName(reached).groupBy("id").agg(F.max_by(F.struct("score", "path"), F.struct(F.round("score", 12).alias("r"), (-F.size("path")).alias("n"))).alias("b")).select("id", "b.score", "b.path")
-        new = settle(best)
-        same = new.join(now.select("id", F.col("score").alias("old")), "id", "left").where("old is null or score > old + 1e-12").take(1)
+        if path:
+            step = step.where(~F.array_contains("path", F.col("v")))
+        reached = step.select(F.col("v").alias("id"), value.alias("score"), *([F.concat("path", F.array("v")).alias("path")] if path else []))
+        # what is met in a round has as many hops as rounds went before, so that the first to reach a score has the fewest
+        old = now.select("id", F.lit(None).cast("double").alias("got"), F.struct("score", "hops", *more).alias("old"), F.lit(None).cast("array<string>").alias("path"))
+        got = reached.select("id", F.col("score").alias("got"), F.lit(None).cast(old.schema["old"].dataType).alias("old"), "path" if path else F.lit(None).cast("array<string>").alias("path"))
+        best = old.unionByName(got).groupBy("id").agg(F.max("got").alias("got"), F.max_by("path", "got").alias("way"), F.max("old").alias("old"))
+        better = F.col("got").isNotNull() & (F.col("old").isNull() | (F.col("got") > F.col("old.score") + 1e-12))
+        pick = lambda new, was: F.when(better, new).otherwise(F.col(f"old.{was}")).alias(was)  # noqa: B023, E731
+        new = settle(best.select("id", pick(F.col("got"), "score"), pick(F.lit(hops), "hops"), *([pick(F.col("way"), "path")] if path else []), better.alias("fresh")))
+        drop(now)
         now = new
-        if not same:
-            return now.select("id", "score", (F.size("path") - 1).alias("hops"), "path")
+    drop(links)
+    return now.select("id", "score", "hops", *(["path"] if paths else []))
 
 
 def _deviations(links: DataFrame, searches: list[tuple[int, list[str], list[str]]], target: str, limit: int | None) -> dict[int, list[str]]:

@@ -189,12 +189,12 @@ SELECT id, round(x, 9) AS score FROM bp"""
 
 @query(_BEST.format(hub=_HUB, value="least(x, w)"))
 def g_path_strongest(fx):
-    return graph.best_paths(edges(fx), hub(fx), "widest").select("id", F.round("score", 9).alias("score"))
+    return graph.best_paths(edges(fx), hub(fx), "widest", paths=False).select("id", F.round("score", 9).alias("score"))
 
 
 @query(_BEST.format(hub=_HUB, value="x * greatest(w, 1e-9)"))
 def g_path_most_likely(fx):
-    return graph.best_paths(edges(fx), hub(fx), "likely").select("id", F.round("score", 9).alias("score"))
+    return graph.best_paths(edges(fx), hub(fx), "likely", paths=False).select("id", F.round("score", 9).alias("score"))
 
 
 #: From the node of highest degree to the last of those four hops away: all simple paths of up to six hops, the first five.
