@@ -68,3 +68,18 @@ def test_projection(spark, tmp_path):
     for _ in range(2):
         tables.project(spark, path, ents([("b", None, None, None, 2, True), ("x", "person", "X", 1.0, 2, False)]), rels([("ax", "OWNS", "a", "x", 0.9, 2, False), ("bd", "OWNS", "b", "d", 1.0, 2, False), ("cd", "OWNS", "c", "d", 0.7, 2, False), ("none", None, None, None, None, 2, True)]), 1, 8)
         assert edges() == {("ax", 0.9), ("cd", 0.7)}
+
+
+def test_changes_are_sorted_once(spark, tmp_path, monkeypatch):
+    """Changes are dealt by key, then sorted: not on both sides of the shuffle."""
+    settle, plans = tables.settle, []
+
+    def seen(df, *more):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return settle(df, *more)
+
+    monkeypatch.setattr(tables, "settle", seen)
+    rows = spark.createDataFrame([(f"k{i % 5}", i, [str(i)], i, False) for i in range(20)], SCHEMA + ", seq int, deleted boolean")
+    tables.upsert(rows, str(tmp_path / "t"), "k", "seq", 0, 4)
+    assert plans[0].count("Sort [") == 1 and plans[0].count("Exchange ") == 1
+    assert state(spark, str(tmp_path / "t")) == {(f"k{i % 5}", i, (str(i),)) for i in range(15, 20)}

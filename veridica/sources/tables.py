@@ -55,9 +55,10 @@ def upsert(changes: DataFrame, table: str, key: str, order: str, batch: int, buc
         raise ValueError(f"batch {batch} comes after batch {done[-1]}")
     schema = changes.select(key, *columns).schema
     if batch not in done:
-        last = changes.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(order, F.coalesce("deleted", F.lit(False)).alias("deleted"), *columns)).alias("c"))
+        # dealt before they are grouped, changes are sorted once, not on both sides of the shuffle
+        last = changes.where(F.col(key).isNotNull()).repartition(key).groupBy(key).agg(F.max(F.struct(order, F.coalesce("deleted", F.lit(False)).alias("deleted"), *columns)).alias("c"))
         last = last.select(key, "c.deleted", *[F.col("c")[c].alias(c) for c in columns], F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias(bucket))
-        last = settle(last)
+        last = settle(last, "zstd")
         touched = sorted(r[0] for r in last.select(bucket).distinct().collect())
         rows = last.where("not deleted").select(key, *columns, bucket)
         if any(exists(spark, f"{table}/{bucket}={b}") for b in touched):
@@ -65,11 +66,11 @@ def upsert(changes: DataFrame, table: str, key: str, order: str, batch: int, buc
             rows = old.join(last.select(key), key, "left_anti").select(rows.columns).unionByName(rows)
         # a null row keeps each touched bucket, also one that has lost all its rows
         marks = spark.createDataFrame([(b,) for b in touched], f"{bucket} int")
-        rows.unionByName(marks, allowMissingColumns=True).withColumn("kept", F.col(key).isNotNull()).write.mode("overwrite").parquet(merged)
+        rows.unionByName(marks, allowMissingColumns=True).withColumn("kept", F.col(key).isNotNull()).write.mode("overwrite").parquet(merged, compression="zstd")
         drop(last)
     out = spark.read.parquet(merged)
     emptied = [r[0] for r in out.groupBy(bucket).agg(F.bool_or("kept").alias("any")).where("not any").collect()]
-    out.where("kept").drop("kept").repartition(bucket).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(bucket).parquet(table)
+    out.where("kept").drop("kept").repartition(bucket).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(bucket).parquet(table, compression="zstd")
     for b in emptied:
         _remove(spark, f"{table}/{bucket}={b}")
     for number in done:
@@ -92,7 +93,9 @@ def project(spark: SparkSession, path: str, entities: DataFrame, relationships:
     nodes, edges = read(spark, f"{path}/nodes", NODES), read(spark, f"{path}/edges", EDGES)
     ends = lambda rows, how: rows.join(nodes.select(F.col("id").alias("source_id")), "source_id", how)
     other = lambda rows, how: rows.join(nodes.select(F.col("id").alias("target_id")), "target_id", how)
-    cut = ends(edges, "left_anti").unionByName(other(edges, "left_anti")).distinct().withColumn("seq", F.lit(None).cast("bigint")).withColumn("deleted", F.lit(True))
+    lost = ends(edges.select("id", "source_id"), "left_anti").select("id").unionByName(other(edges.select("id", "target_id"), "left_anti").select("id"))
+    none = lambda c: F.lit(None).cast(edges.schema[c].dataType).alias(c)
+    cut = lost.select("id", none("type"), none("source_id"), none("target_id"), none("confidence_score"), F.lit(None).cast("bigint").alias("seq"), F.lit(True).alias("deleted"))
     given = relationships.select("id", "type", "source_id", "target_id", "confidence_score", F.col("seq").cast("bigint").alias("seq"), F.coalesce("deleted", F.lit(False)).alias("deleted"))
     joined = other(ends(given.where("not deleted"), "left_semi"), "left_semi").unionByName(given.where("deleted"))
     columns = ["id", "type", "source_id", "target_id", "confidence_score", "seq", "deleted"]
