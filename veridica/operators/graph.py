@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veridica.operators.frames import drop, settle
+from veridica.operators.frames import dealt, drop, parts, settle
 
 
 def _held(df: DataFrame) -> DataFrame:
@@ -36,17 +36,19 @@ def view(rels: DataFrame, ents: DataFrame, types: list[str] | None = None, rel_t
     """(nodes, undirected edges) of the filtered graph.
 
     Nodes are the endpoints of the type-filtered edges, fixed before min_confidence filters edges;
-    parallel and reciprocal edges collapse to the strongest.
+    parallel and reciprocal edges collapse to the strongest. Relationships are made once; they and the entities are dealt into
+    parts of bounded size, so that the memory of a task does not grow with them.
     """
     kept = rels.where(F.col("type").isin(rel_types)) if rel_types else rels
+    kept = settle(kept.select("source_id", "target_id", "confidence_score"))
     ends = kept.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
-    found = ents.join(ends, "id", "left_semi").select("id", "name", "type", "confidence_score")
+    found = dealt(ents.select("id", "name", "type", "confidence_score"), "id").join(ends, "id", "left_semi")
     if types:
         found = found.where(F.col("type").isin(types))
     ids = found.select("id")
     inside = kept.where(F.col("confidence_score") >= min_confidence).join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
     pair = inside.select(F.least("source_id", "target_id").alias("u"), F.greatest("source_id", "target_id").alias("v"), "confidence_score")
-    return found, pair.where("u <> v").groupBy("u", "v").agg(F.max("confidence_score").alias("w"))
+    return found, pair.where("u <> v").repartition(parts(kept), "u", "v").groupBy("u", "v").agg(F.max("confidence_score").alias("w"))
 
 
 def degree(edges: DataFrame) -> DataFrame:
