@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from tests.test_engine import brute_betweenness
 from veridica.operators import graph
 
 
@@ -33,3 +34,20 @@ def test_small_pieces_are_one_block(spark, monkeypatch):
     monkeypatch.setattr(graph, "_dependencies", lambda *given: (blocks.append(1), plain(*given))[1])
     got = {r.id: round(r.score * 119 * 118, 6) for r in graph.betweenness(df, block=10).collect()}
     assert got == {f"{k}{x}": 2.0 * (x == "b") for k in range(40) for x in "abc"} and len(blocks) == 1
+
+
+def test_pairs_of_source_and_node_are_no_rows(spark, monkeypatch):
+    """Shares of few seeds, small components together and large ones alone, a few seeds at once."""
+    rng = random.Random(2)
+    pairs = {tuple(sorted(rng.sample(range(k, k + 12), 2))) for k in (0, 20, 40) for _ in range(16)} | {(100, 101), (200, 201), (201, 202)} | {(300 + i, 301 + i) for i in range(40)} | {(300, 310), (305, 333)}
+    df = spark.createDataFrame([(f"n{u}", f"n{v}", 1.0) for u, v in sorted(pairs)], "u string, v string, w double")
+    want = brute_betweenness([(f"n{u}", f"n{v}", 1.0) for u, v in pairs])
+    plans, plain = [], graph.settle
+    for small, together, work, state in ((1000, 20_000, 10_000_000, 1_000_000), (5, 2, 1, 30), (30, 10, 1000, 1)):
+        for name, value in (("SMALL", small), ("TOGETHER", together), ("WORK", work), ("STATE", state)):
+            monkeypatch.setattr(graph, name, value)
+        got = {r.id: r.score for r in graph.betweenness(df, block=7).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    monkeypatch.setattr(graph, "settle", lambda d, *more: (plans.append(d.columns), plain(d, *more))[1])
+    graph.betweenness(df)
+    assert not any({"seed", "id"} <= set(c) for c in plans)
